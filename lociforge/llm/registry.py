@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import near_duplicates
-from lociforge.session import table
+from lociforge.llm import markov_clusters, near_duplicates
+from lociforge.session import Cut, table
 
 
 def _sequences(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,5 +20,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.group_pairs(near_duplicates.near_duplicate_groups(_sequences(spark, folder)))
 
 
-QUERIES = {"p3_found": p3_found}
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markov_clusters.found(table(spark, folder, "calls"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    cut = Cut(spark)
+    members, links = markov_clusters.alike_graph(markov_clusters.genotypes(table(spark, folder, "calls"), cut), cut)
+    _, described = markov_clusters.markov_clusters(members, links, cut)
+    return described.select("first_seq_id", "n_members", F.array_join("typical", ",").alias("typical"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
