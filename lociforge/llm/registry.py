@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import markov_clusters, near_duplicates
+from lociforge.llm import markov_clusters, near_duplicates, nearest_vectors
 from lociforge.session import Cut, table
 
 
@@ -31,5 +31,10 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return described.select("first_seq_id", "n_members", F.array_join("typical", ",").alias("typical"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    nearest = nearest_vectors.most_similar(table(spark, folder, "specimens"), 5, 4.0)
+    return nearest_vectors.similar_pairs(nearest, 4.0)
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
