@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import leakage, markov_clusters, near_duplicates, nearest_vectors
+from lociforge.llm import leakage, markov_clusters, near_duplicates, nearest_vectors, packing
 from lociforge.session import Cut, table
 
 
@@ -36,9 +36,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.similar_pairs(nearest, 4.0)
 
 
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "containers"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, folder), table(spark, folder, "containers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "test_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}
