@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import leakage, markov_clusters, near_duplicates, nearest_vectors, packing
+from lociforge.llm import leakage, markov_clusters, near_duplicates, nearest_vectors, packing, subjects
 from lociforge.session import Cut, table
 
 
@@ -48,5 +48,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "test_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found}
+def _subjects(spark: SparkSession, folder: str, min_share: float) -> DataFrame:
+    return subjects.subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"), min_share)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder, subjects.MIN_SHARE).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, folder, 0))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
 ORACLE: dict[str, str] = {}
