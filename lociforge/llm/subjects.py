@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ MAX_LABELLED = 200_000
 MAX_SUBJECTS = 60
 MIN_COUNT = 5
 MIN_RATIO = 4.0
-MIN_Z = 4.0
+MIN_Z = 2.5
+MIN_LABELLED = 5
+MIN_RATE = 0.2
 PRIOR = 50.0
 NONE_SCORE = 3.0
 ROUNDS = 3
@@ -106,8 +109,8 @@ def featured(documents: DataFrame, labels: DataFrame) -> DataFrame:
 class Model:
     """Weights of the features that say something, by subject."""
 
-    def __init__(self, counts: np.ndarray, language: np.ndarray, n: int):
-        """``counts``: features by subjects and, last, all; ``language``: of each feature."""
+    def __init__(self, counts: np.ndarray, language: np.ndarray, n: int, labelled: np.ndarray | None = None):
+        """``counts``: features by subjects and, last, all; ``language``: of each feature; ``labelled``: counts by label."""
         total = counts[:, n]
         weights = np.zeros((len(counts), n))
         for lang in range(len(LANGUAGE_WORDS) + 1):
@@ -121,6 +124,10 @@ class Model:
             expected = t * (c.sum(0) / t.sum())
             z = (c - expected) / np.sqrt(expected + 0.5)
             weights[at] = np.where((ratio >= MIN_RATIO) & (z >= MIN_Z), np.log(ratio), 0)
+        if labelled is not None:
+            # a word that the clerks' documents know well keeps no subject that they rarely give it
+            known = labelled[:, n] >= MIN_LABELLED
+            weights[known] = np.where(labelled[known, :n] + 1 >= MIN_RATE * (labelled[known, n:] + 2), weights[known], 0)
         useful = np.flatnonzero(weights.any(1))
         self.place = np.zeros(len(counts), np.int32)
         self.place[useful] = np.arange(1, len(useful) + 1)
@@ -162,7 +169,7 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(table: DataFrame, n: int, model) -> tuple[np.ndarray, np.ndarray]:
-    """``(counts, language)``: expected words of each feature by subject, from the labels or from a broadcast model."""
+    """``(counts, language)``: expected documents with each feature by subject, from the labels or from a broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((n + 1, FEATURES))
@@ -181,9 +188,13 @@ def word_counts(table: DataFrame, n: int, model) -> tuple[np.ndarray, np.ndarray
                 subject = model.value.sentence_subjects(lengths, per_doc, features)
                 doc = np.repeat(np.arange(docs), per_doc)
                 hits = np.bincount(doc[subject >= 0] * n + subject[subject >= 0], minlength=docs * n).reshape(docs, n).astype(float)
-                used = hits.any(1)
+                nothing = pa.compute.fill_null(pa.compute.equal(batch.column("mask"), 0), False).to_numpy(zero_copy_only=False)
+                hits[nothing] = 0  # clerks found no subject
+                used = hits.any(1) | nothing
                 share = hits / np.maximum(hits.sum(1, keepdims=True), 1)
             owner = np.repeat(np.arange(docs), words)
+            once = np.unique((owner << 18) | features)  # a word counts once in a document, however often it is repeated
+            owner, features = once >> 18, once & (FEATURES - 1)
             language[features] = batch.column("language").to_numpy()[owner]
             sums[n] += np.bincount(features[used[owner]], minlength=FEATURES)
             for k in range(n):
@@ -224,10 +235,10 @@ def label_masks(labels: DataFrame, names: list[str], max_labelled: int = MAX_LAB
 def fit(table: DataFrame, n: int, rounds: int = ROUNDS):
     """The broadcast model after the labelled documents and ``rounds`` rounds over all."""
     context = table.sparkSession.sparkContext
-    shared = context.broadcast(Model(*word_counts(table.filter("mask is not null"), n, None), n))
+    labelled, language = word_counts(table.filter("mask is not null"), n, None)
+    shared = context.broadcast(Model(labelled, language, n, labelled))
     for _ in range(rounds):
-        after = context.broadcast(Model(*word_counts(table, n, shared), n))
-        shared = after
+        shared = context.broadcast(Model(*word_counts(table, n, shared), n, labelled))
     return shared
 
 
