@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lociforge.plans import problems
+from lociforge.plans import problems, typing_queries
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
-FLAGSHIP = problems.p4_report
+QUERIES = {**typing_queries.QUERIES, **problems.QUERIES}
+ORACLE = {**typing_queries.ORACLE, **problems.ORACLE}
+FLAGSHIP = typing_queries.wibs_pairs
