@@ -36,7 +36,7 @@ def bloom_filter(parents: DataFrame, key: str, max_words: int = MAX_WORDS) -> tu
     """``(word, bits)`` over the distinct parent keys and the number of words, at most ``max_words``."""
     keys = parents.select(F.col(key).alias("_k")).filter("_k is not null")
     n = max(1, parents.select(F.approx_count_distinct(key)).first()[0])
-    words = min(max_words, max(16, 1 << math.ceil(math.log2(n * BITS_PER_KEY / 64))))
+    words = min(max_words, 1 << max(4, math.ceil(math.log2(n * BITS_PER_KEY / 64))))
     table = keys.select(_word(F.col("_k"), words).alias("word"), _mask("_k").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return table, words
 
