@@ -1,8 +1,8 @@
 """Pairwise specimen distances.
 
-Weighted identity-by-state is a sum over common loci, so it is made of matrix products: specimens are dealt to blocks,
-each pair of blocks is one task with a bounded number of specimens, and no join row is made for a pair and locus. The
-others are joins on the locus of one row for each specimen and locus.
+The metrics are sums over common loci, made of matrix products: specimens are dealt to blocks, each pair of blocks is
+one task with a bounded number of specimens, and no row is made for a pair and locus. The sequence metric is a join on
+the locus of one row for each specimen and locus.
 """
 
 from __future__ import annotations
@@ -21,6 +21,40 @@ BLOCK = 1024
 EPSILON = 0.3072
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """The rows with ``(bi, bj, b)``: each specimen's block, and every pair of blocks that it is compared in."""
+    blocks = max(1, math.ceil(rows.select("seq_id").distinct().count() / block))
+    return (
+        rows.withColumn("b", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("bi", F.least("b", "_o")).withColumn("bj", F.greatest("b", "_o")).drop("_o")
+    )
+
+
+class _Pair:
+    """The specimens of two blocks: ``s`` is each row's specimen, ``left`` and ``right`` those of either block."""
+
+    def __init__(self, key: tuple, pdf: pd.DataFrame):
+        bi, bj = key
+        self.ids = np.sort(pdf["seq_id"].unique())
+        self.s = np.searchsorted(self.ids, pdf["seq_id"].to_numpy().astype(self.ids.dtype))
+        side = np.zeros(len(self.ids), int)
+        side[self.s] = pdf["b"].to_numpy()
+        self.left, self.right, self.same = np.flatnonzero(side == bi), np.flatnonzero(side == bj), bi == bj
+
+    def rows(self, d: np.ndarray, keep: np.ndarray | None = None) -> pd.DataFrame:
+        """``(i, j, d)`` of the pairs of the result matrix, each once."""
+        if self.same:
+            i, j = np.triu_indices(len(self.left), 1)
+        else:
+            i, j = (x.ravel() for x in np.indices(d.shape))
+        if keep is not None:
+            ok = keep[i, j]
+            i, j = i[ok], j[ok]
+        x, y = self.left[i], self.right[j]  # ids are sorted
+        return pd.DataFrame({"i": self.ids[np.minimum(x, y)], "j": self.ids[np.maximum(x, y)], "d": d[i, j]})
+
+
 def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, max_distance: float | None = None) -> DataFrame:
     """``(i, j, d)``, i before j: weighted identity-by-state before the projection; 1.0 without a common locus.
 
@@ -29,51 +63,29 @@ def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, bl
     kept = complete_calls(calls, min_completeness)
     weights = allele_frequencies(kept, marker_dimension(calls, ploidy)).select("locus", "marker", "ploidy", "w")
     per_locus = weights.groupBy("locus").agg(F.sum("w").alias("wl"))
-    blocks = max(1, math.ceil(kept.select("seq_id").distinct().count() / block))
-    rows = (
-        kept.join(weights, ["locus", "marker"]).join(F.broadcast(per_locus), "locus")
-        .withColumn("b", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "seq_id", "locus", "marker", (F.col("w") / F.col("ploidy")).alias("wq"), "wl")
-    )
+    own = kept.join(weights, ["locus", "marker"]).join(per_locus, "locus").select("seq_id", "locus", "marker", (F.col("w") / F.col("ploidy")).alias("wq"), "wl")
 
     def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = key
-        ids = np.sort(pdf["seq_id"].unique())
-        s = np.searchsorted(ids, pdf["seq_id"].to_numpy().astype(ids.dtype))
+        p = _Pair(key, pdf)
         locus, names = pd.factorize(pdf["locus"])
         marker, _ = pd.factorize(pdf["locus"] + "\x00" + pdf["marker"])
         wq, wl = pdf["wq"].to_numpy(), np.zeros(len(names))
         wl[locus] = pdf["wl"].to_numpy()
-        called, held = np.zeros((len(ids), len(names))), np.zeros((len(ids), len(names)))
-        called[s, locus] = 1
-        np.add.at(held, (s, locus), wq)
-        side = np.zeros(len(ids), int)
-        side[s] = pdf["b"].to_numpy()
-        left = np.flatnonzero(side == bi)
-        right = np.flatnonzero(side == bj)
+        called, held = np.zeros((len(p.ids), len(names))), np.zeros((len(p.ids), len(names)))
+        called[p.s, locus] = 1
+        np.add.at(held, (p.s, locus), wq)
         shared = np.flatnonzero(np.bincount(marker) > 1)
         place = np.full(marker.max() + 1, -1)
         place[shared] = np.arange(len(shared))
         ok = place[marker] >= 0
-        root = np.zeros((len(ids), len(shared)))
-        root[s[ok], place[marker[ok]]] = np.sqrt(wq[ok])
-        den = (called[left] * wl) @ called[right].T
-        num = held[left] @ called[right].T + called[left] @ held[right].T - 2 * (root[left] @ root[right].T)
+        root = np.zeros((len(p.ids), len(shared)))
+        root[p.s[ok], place[marker[ok]]] = np.sqrt(wq[ok])
+        den = (called[p.left] * wl) @ called[p.right].T
+        num = held[p.left] @ called[p.right].T + called[p.left] @ held[p.right].T - 2 * (root[p.left] @ root[p.right].T)
         d = np.where(den > 0, np.maximum(num, 0) / np.where(den > 0, den, 1), 1.0)
-        if bi == bj:
-            i, j = np.triu_indices(len(left), 1)
-        else:
-            i, j = (x.ravel() for x in np.indices(d.shape))
-        d = d[i, j]
-        if max_distance is not None:
-            near = d <= max_distance
-            i, j, d = i[near], j[near], d[near]
-        a, b = ids[left[i]], ids[right[j]]
-        swap = left[i] > right[j]  # ids are sorted
-        return pd.DataFrame({"i": np.where(swap, b, a), "j": np.where(swap, a, b), "d": d})
+        return p.rows(d, None if max_distance is None else d <= max_distance)
 
-    return rows.groupBy("bi", "bj").applyInPandas(products, "i string, j string, d double")
+    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(products, "i string, j string, d double")
 
 
 def _per_locus(calls: DataFrame) -> DataFrame:
@@ -123,40 +135,78 @@ def snp_pairs(calls: DataFrame, sequences: DataFrame, ploidy=None, min_completen
     return same.unionByName(apart).join(F.broadcast(weights), "locus").groupBy("i", "j").agg((F.sum(F.col("dl") * F.col("w")) / F.sum("w")).alias("d"))
 
 
-def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10) -> DataFrame:
+def _loci(p: _Pair, pdf: pd.DataFrame):
+    """For each locus its row, both sides' presence and allele numbers: ``(first, x, y, allele)``."""
+    locus, names = pd.factorize(pdf["locus"])
+    order = np.argsort(locus, kind="stable")
+    for at in np.split(order, np.cumsum(np.bincount(locus, minlength=len(names)))[:-1]):
+        allele, kinds = pd.factorize(pdf["marker"].to_numpy()[at])
+        held = np.zeros((len(p.ids), len(kinds)), np.float32)
+        held[p.s[at], allele] = 1
+        yield at, held[p.left], held[p.right], allele
+
+
+def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK) -> DataFrame:
     """``(i, j, d)`` of comparable pairs: entropy-weighted heuristic distance, mean over common loci."""
     kept = complete_calls(calls, min_completeness)
     loci = entropies(kept).join(marker_dimension(calls, ploidy).select("locus", "ploidy").distinct(), "locus")
-    x = F.size(F.array_union("v1", "v2"))
-    y = F.size(F.array_intersect("v1", "v2"))
-    n = F.least(F.size("v1"), F.size("v2"))
-    zero = F.lit(0)
-    w = F.when(n > 1, x).when(F.col("ploidy") > 1, F.when(x == 2, F.lit(4)).when(x > 2, 1 + x).otherwise(zero)).otherwise(F.when(x > 1, 1 + x).otherwise(zero))
-    least = F.when(F.col("ploidy") > 1, F.lit(2)).otherwise(F.lit(1))
-    z = F.when((y == 1) & (n == 1) & (x > least), F.lit(3)).otherwise(zero) + F.when((y > 0) & (n > 1), F.lit(2)).otherwise(zero)
-    delta = F.when(y == 0, w).otherwise(4 - z)
-    return _locus_pairs(_per_locus(kept)).join(F.broadcast(loci), "locus").groupBy("i", "j").agg(F.avg(F.col("entropy") * delta).alias("d"))
-
-
-def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min_completeness: float = 0.10) -> DataFrame:
+    own = kept.join(loci, "locus").select("seq_id", "locus", "marker", "entropy", "ploidy")
+
+    def scores(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = _Pair(key, pdf)
+        total, common = np.zeros((len(p.left), len(p.right))), np.zeros((len(p.left), len(p.right)), np.int32)
+        for at, a, b, _ in _loci(p, pdf):
+            many = pdf["ploidy"].iat[at[0]] > 1
+            na, nb, both = a.sum(1)[:, None], b.sum(1)[None, :], a @ b.T
+            union, least = na + nb - both, np.minimum(na, nb)
+            alone = np.where(union == 2, 4, np.where(union > 2, 1 + union, 0)) if many else np.where(union > 1, 1 + union, 0)
+            credit = 3 * ((both == 1) & (least == 1) & (union > (2 if many else 1))) + 2 * ((both > 0) & (least > 1))
+            delta = np.where(both == 0, np.where(least > 1, union, alone), 4 - credit)
+            comparable = (na > 0) & (nb > 0)
+            total += np.where(comparable, pdf["entropy"].iat[at[0]] * delta, 0)
+            common += comparable
+        return p.rows(total / np.maximum(common, 1), common > 0)
+
+    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
+
+
+def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min_completeness: float = 0.10, block: int = BLOCK) -> DataFrame:
     """``(i, j, d)`` of comparable pairs: expected number of loci copies not shared, from 0 to 2.
 
     Sums of log-likelihoods for two, one and no shared copies over the common loci; equal weights before.
     """
     kept = complete_calls(calls, min_completeness)
     shares = allele_shares(kept).select("locus", "marker", F.greatest("share", F.lit(1e-4)).alias("p"))
-    loci = marker_dimension(calls, ploidy).select("locus", "ploidy").distinct()
-    per = kept.join(shares, ["locus", "marker"]).groupBy("locus", "seq_id").agg(F.sort_array(F.collect_set("marker")).alias("markers"), F.sum(F.log("p")).alias("lp"), F.min("p").alias("pm"), F.map_from_entries(F.collect_set(F.struct("marker", "p"))).alias("ps"))
-    pairs = _locus_pairs(per).join(F.broadcast(loci), "locus")
-    s = F.sort_array(F.transform(F.array_intersect("v1", "v2"), lambda m: F.element_at("ps_1", m)))
-    pairs = pairs.select("i", "j", "ploidy", F.size("v1").alias("n1"), F.size("v2").alias("n2"), (F.col("lp_1") + F.col("lp_2")).alias("l0"), s.alias("s"), F.log(epsilon * F.least("pm_1", "pm_2")).alias("none"))
-    l1 = F.when(F.size("s") >= 1, F.col("l0") - F.log(F.get("s", F.lit(0)))).otherwise(F.col("none"))
-    single = (F.col("ploidy") == 1) | (F.col("n1") == 1) | (F.col("n2") == 1)
-    l2 = F.when(single, l1).when(F.size("s") >= 2, F.col("l0") - F.log(F.get("s", F.lit(0))) - F.log(F.get("s", F.lit(1)))).otherwise(F.col("none"))
-    sums = pairs.select("i", "j", "l0", l1.alias("l1"), l2.alias("l2")).groupBy("i", "j").agg(F.sum("l0").alias("a"), F.sum("l1").alias("b"), F.sum("l2").alias("c"))
-    top = F.greatest("a", "b", "c")
-    e0, e1, e2 = F.exp(F.col("a") - top), F.exp(F.col("b") - top), F.exp(F.col("c") - top)
-    return sums.select("i", "j", ((e1 + 2 * e0) / (e0 + e1 + e2)).alias("d"))
+    loci = marker_dimension(calls, ploidy).select("locus", "marker", "ploidy")
+    own = kept.join(shares, ["locus", "marker"]).join(loci, ["locus", "marker"]).select("seq_id", "locus", "marker", "p", "ploidy")
+
+    def scores(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pair = _Pair(key, pdf)
+        shape = (len(pair.left), len(pair.right))
+        sums, common = np.zeros((3, *shape)), np.zeros(shape, bool)
+        for at, a, b, allele in _loci(pair, pdf):
+            freq = np.zeros(a.shape[1])
+            freq[allele] = pdf["p"].to_numpy()[at]
+            na, nb = a.sum(1)[:, None], b.sum(1)[None, :]
+            least, second = np.ones(shape), np.ones(shape)  # the rarest shared alleles
+            shared = np.zeros(shape, np.int32)
+            for m in np.argsort(-freq, kind="stable"):
+                where = np.ix_(np.flatnonzero(a[:, m]), np.flatnonzero(b[:, m]))
+                second[where], least[where] = least[where], freq[m]
+                shared[where] += 1
+            l0 = (a @ np.log(freq))[:, None] + (b @ np.log(freq))[None, :]
+            rare = [np.where(x > 0, freq, np.inf).min(1) for x in (a, b)]
+            comparable = (na > 0) & (nb > 0)
+            none = np.log(epsilon * np.where(comparable, np.minimum(rare[0][:, None], rare[1][None, :]), 1))
+            l1 = np.where(shared >= 1, l0 - np.log(least), none)
+            l2 = l1 if pdf["ploidy"].iat[at[0]] == 1 else np.where((na == 1) | (nb == 1), l1, np.where(shared >= 2, l0 - np.log(least) - np.log(second), none))
+            for k, x in enumerate((l0, l1, l2)):
+                sums[k] += np.where(comparable, x, 0)
+            common |= comparable
+        e = np.exp(sums - sums.max(0))
+        return pair.rows((e[1] + 2 * e[0]) / e.sum(0), common)
+
+    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
 
 
 def fractional_ranks(pairs: DataFrame, places: int = 12) -> DataFrame:
