@@ -154,7 +154,8 @@ def near_duplicate_groups(records: DataFrame, cut: Cut | None = None, threshold:
     own = records.select(F.col("rec_no").cast("long").alias("rec_no"), clean_sequence("sequence").alias("seq")).filter((F.length("seq") >= max(min_letters, k)) & F.col("rec_no").isNotNull())
     own = own.select("rec_no", "seq", F.md5("seq").alias("_h"))
     distinct = cut.write(own.groupBy("_h").agg(F.min("rec_no").alias("node"), F.first("seq").alias("seq")))
-    groups, _ = linked_components(buckets_of(distinct, bands, rows, k), lambda p: verified(p, distinct, threshold, k), cut)
+    buckets = cut.write(buckets_of(distinct, bands, rows, k))  # read twice, sketched once
+    groups, _ = linked_components(buckets, lambda p: verified(p, distinct, threshold, k), cut)
     members = own.select("rec_no", "_h").distinct().join(distinct.select("_h", "node"), "_h").join(groups, "node", "left")
     return members.select("rec_no", F.coalesce("comp", "node").alias("group_no")).distinct()
 
