@@ -120,3 +120,39 @@ def test_flow_separates_weakly_joined_groups(spark):
     parts = connected_components(flow.select(flow["row"].alias("a"), flow["col"].alias("b")), Cut(spark))
     home = {r["node"]: r["comp"] for r in parts.collect()}
     assert len({home[x] for x in range(6)}) == 1 and home[0] != home[15] and len({home[x] for x in range(10, 16)}) == 1
+
+
+def test_typical_against_brute_force_flow(spark):
+    rng = random.Random(3)
+    loci = [f"Nu_L{i}" for i in range(20)]
+    specimens = {}
+    for i in range(70):  # one clique with more links than 1 / PRUNE, in an order that tells nothing, and copies
+        specimens[f"A_{(i * 37) % 70:03d}"] = {x: {0} for x in loci} | {x: {1 + i} for x in rng.sample(loci, rng.choice([0, 1, 1, 2, 2, 3]))}
+    specimens |= {f"A_{100 + i}": specimens["A_005"] for i in range(3)}
+    specimens |= {f"B_{i:02d}": {x: {500} for x in loci} | {x: {600 + i} for x in loci[i : i + 1 + i % 3]} for i in range(8)}
+    ids = sorted(specimens)
+    link = lambda a, b: sum(bool(a[x] & b[x]) for x in loci) / len(loci) if alike(a, b) else 0.0
+    v = np.array([[link(specimens[a], specimens[b]) if a != b else 0.0 for b in ids] for a in ids])
+    graph = v > 0
+    np.fill_diagonal(v, v.max(0))
+    v, early = v / v.sum(0), None
+    for _ in range(30):
+        v = (v @ v) ** 2
+        v /= v.sum(0)
+        early = v.sum(1) if early is None else early
+    home = groups_of([(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and graph[i, j]], ids)
+    limit, early = dict(zip(ids, v.sum(1).round(6))), dict(zip(ids, early.round(6)))
+    want = {h: sorted((s for s in ids if home[s] == h), key=lambda s: (-limit[s], -early[s], s))[:3] for h in set(home.values())}
+    df = spark.createDataFrame([(s, x, f"{x}_Hap_{h}") for s, g in specimens.items() for x, hs in g.items() for h in hs], "seq_id string, locus string, marker string")
+    cut = Cut(spark)
+    members, links = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut)
+    at = {r["seq_id"]: r["node"] for r in members.collect()}
+    want_links = {tuple(sorted((at[a], at[b]))) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and graph[i, j] and at[a] != at[b]}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want_links
+    _, described = markov_clusters.markov_clusters(members, links, cut)
+    assert {r["first_seq_id"]: r["typical"] for r in described.collect()} == want
+    # the rounds of large components: the same links and, but for pruning, the same flow
+    _, large = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut, dense=2)
+    assert large.count() == len(want_links)
+    _, first = markov_clusters.markov_flow(links, cut, weights=members.groupBy("node").count().withColumnRenamed("count", "m"), dense=2, prune=0.0, max_iterations=1)
+    assert all(abs(early[s] - r) < 1e-5 for r, s in ((r["inflow"], s) for r in first.collect() for s in ids if at[s] == r["node"]))
