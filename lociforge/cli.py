@@ -22,8 +22,9 @@ def calls_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.references:
         found = typing.match_contigs(contigs, files.read_references(spark, args.references)).join(contigs.select("ord", "seq_id"), "ord")
         return found.select("seq_id", "marker").distinct().withColumn("locus", parse_locus(F.col("marker")))
-    hinted = contigs.withColumn("locus", parse_locus(clean_locus_hint(F.col("locus_hint")))).filter("locus <> ''")
-    return typing.denovo_calls(hinted)
+    named = contigs.withColumn("locus", parse_locus(clean_locus_hint(F.col("locus_hint"))))
+    cut = Cut(spark)
+    return typing.denovo_calls(typing.assigned_loci(cut.write(named.select("seq_id", "locus", "sequence", "ord")), cut))
 
 
 def pairs_of(calls: DataFrame, metric: str, ploidy: int | None, references: DataFrame | None) -> DataFrame:

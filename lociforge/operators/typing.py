@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.identifiers import clean_id
 from lociforge.functions.names import content_hash, haplotype_id, parse_locus
 from lociforge.functions.sequences import contains_either, coverage, identity, is_junction_read, mean_phred, plain_sequence, trim_junction
+from lociforge.session import Cut
 
 MIN_LETTERS = 20
 SEED = 20
+LOCUS_IDENTITY = 0.75
+LEADERS = 2048
 
 
 def contig_view(contigs: DataFrame) -> DataFrame:
@@ -20,6 +27,69 @@ def contig_view(contigs: DataFrame) -> DataFrame:
     return contigs.select(clean_id("seq_id").alias("seq_id"), clean_id("locus_hint").alias("locus_hint"), plain_sequence(F.col("sequence")).alias("sequence"), "ord").filter(F.length("sequence") >= MIN_LETTERS)
 
 
+class _Centroids:
+    """Loci in the order of their first record, and the first of them that a sequence is alike."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows)
+        self.at, self.names = np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]
+        self.lengths = np.array([len(r[1]) for r in rows])
+        self.letters = np.zeros((len(rows), max(self.lengths, default=0)), np.uint8)
+        for k, r in enumerate(rows):
+            self.letters[k, : len(r[1])] = np.frombuffer(r[1].encode(), np.uint8)
+
+    def locus(self, at: int, sequence: str, identity: float) -> str | None:
+        k = np.searchsorted(self.at, at, "right")  # loci begun up to this record
+        own = np.frombuffer(sequence.encode(), np.uint8)[: self.letters.shape[1]]
+        most = np.maximum(self.lengths[:k], len(sequence))
+        alike = (self.letters[:k, : len(own)] == own).sum(1) / most >= identity
+        alike &= np.minimum(self.lengths[:k], len(sequence)) / most >= 0.6
+        return self.names[alike.argmax()] if alike.any() else None
+
+
+def assigned_loci(contigs: DataFrame, cut: Cut, identity: float = LOCUS_IDENTITY, leaders: int = LEADERS) -> DataFrame:
+    """``(seq_id, locus, sequence, ord)``: the contigs, those without a locus with the one their sequence tells.
+
+    ``contigs``: ``(seq_id, locus, sequence, ord)``, the locus null or blank where unknown. In the order of ``ord`` a
+    contig without locus gets the first locus begun before it whose first sequence agrees with it in ``identity`` of the
+    letters of the longer one, place by place; else it begins ``Locus_NN``. Equal sequences get one locus, so distinct
+    ones are compared, and only with first sequences: each round takes the first ``leaders`` undecided ones in order,
+    finds the loci they begin, and decides by these all that are alike. Rounds, and what the driver holds, follow the loci.
+    """
+    spark = contigs.sparkSession
+    known = F.coalesce(F.col("locus"), F.lit("")) != ""
+    hinted, blank = contigs.filter(known), contigs.filter(~known)
+    first = [(r["ord"], r["sequence"], r["locus"]) for r in hinted.groupBy("locus").agg(F.min_by("sequence", "ord").alias("sequence"), F.min("ord").alias("ord")).collect()]
+    open_ = blank.groupBy("sequence").agg(F.min("ord").alias("at"))
+    every, new, begun = list(first), first, 0
+
+    def told(own: DataFrame, centroids: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_Centroids(centroids))
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(locus=[shared.value.locus(a, s, identity) for a, s in zip(pdf["at"], pdf["sequence"])])
+
+        return cut.write(own.mapInPandas(decide, "sequence string, at long, locus string"))
+
+    distinct = open_ = cut.write(open_)
+    while True:
+        open_ = told(open_, new).filter("locus is null").select("sequence", "at")
+        rows = open_.orderBy("at", "sequence").limit(leaders).collect()
+        if not rows:
+            break
+        # all records before these are decided, and these are alike no locus found so far
+        new = []
+        for r in rows:
+            if not new or _Centroids(new).locus(r["at"], r["sequence"], identity) is None:
+                begun += 1
+                new.append((r["at"], r["sequence"], f"Locus_{begun:02d}"))
+        every += new
+    # a hinted locus may have begun after one found here, so the first of all is looked up at the end
+    done = told(distinct, every).select("sequence", "locus")
+    return hinted.select("seq_id", "locus", "sequence", "ord").unionByName(blank.drop("locus").join(done, "sequence").select("seq_id", "locus", "sequence", "ord"))
+
+
 def haplotype_ranks(contigs: DataFrame) -> DataFrame:
     """``(locus, sequence, n, len, rank, marker)``: a locus's sequences by records, then length, then first seen.
 

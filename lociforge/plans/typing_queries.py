@@ -247,6 +247,20 @@ def denovo_calls(spark, folder):
     return typing.denovo_calls(_contigs(spark, folder).filter("locus_hint <> ''").withColumnRenamed("locus_hint", "locus"))
 
 
+def _placed(spark, folder):
+    return typing.assigned_loci(_contigs(spark, folder).withColumnRenamed("locus_hint", "locus"), Cut(spark))
+
+
+def haplotype_rank_all(spark, folder):
+    """As ``haplotype_rank``, with the contigs that have no locus hint."""
+    return typing.haplotype_ranks(_placed(spark, folder))
+
+
+def denovo_calls_all(spark, folder):
+    """As ``denovo_calls``, with the contigs that have no locus hint."""
+    return typing.denovo_calls(_placed(spark, folder))
+
+
 def contig_match(spark, folder):
     return _rounded(typing.match_contigs(_contigs(spark, folder), _haps(spark, folder).withColumnRenamed("rec_no", "ref_ord")), "identity_pct", "coverage_pct")
 
@@ -365,7 +379,7 @@ QUERIES = {
     for f in (
         wibs_pairs, snp_wibs_pairs, barratt_pairs, plucinski_pairs, rank_ensemble, double_centring, locus_parse, norm_name, content_hash, haplotype_id, locus_hint,
         presence_cells, completeness, complete_specimens, marker_dimension, locus_called, allele_frequency, allele_share, locus_entropy, snp_weight, haplotype_rank,
-        denovo_calls, contig_match, hinted_identity, read_filter, read_support, junction_trim, longest_contig, consensus, gold_threshold_mad, gold_threshold_sd,
+        haplotype_rank_all, denovo_calls_all, denovo_calls, contig_match, hinted_identity, read_filter, read_support, junction_trim, longest_contig, consensus, gold_threshold_mad, gold_threshold_sd,
         distance_auc, within_percent, cluster_sizes, adjusted_rand, cluster_relabel, excluded_specimens, id_collision, metric_correlation, micro_clusters,
         ward_tree, cophenetic_correlation, knee_clusters, supervised_clusters,
     )

@@ -154,3 +154,25 @@ def test_contigs_and_reads(spark):
     assert votes.transform(lambda d: typing.consensus(d, "k")).first()["consensus"] == "ACGT"
     ranked = spark.createDataFrame([("a", "L", "ACGT" * 6, 1), ("b", "L", "ACGT" * 7, 2), ("a", "L", "ACGT" * 7, 3)], "seq_id string, locus string, sequence string, ord long")
     assert [r["rank"] for r in typing.haplotype_ranks(ranked).orderBy("len").collect()] == [2, 1]
+
+
+def test_contigs_without_hint_get_the_locus_their_sequence_tells(spark):
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (60, 60, 80, 45, 100)]
+    vary = lambda s: "".join(rng.choice("ACGT") if rng.random() < 0.15 else c for c in s)[: len(s) - rng.randrange(6)]
+    rows = []
+    for k in range(160):
+        b = rng.randrange(5)
+        rows.append((f"S{k % 20}", rng.choice([None, "", f"L{b}"]) if b < 2 and k > 9 else None, vary(bases[b]) if rng.random() < 0.7 else bases[b], k))
+    centroids, want, begun = {}, {}, 0
+    for _, hint, s, k in rows:
+        locus = hint or next((x for x, c in centroids.items() if min(len(s), len(c)) / max(len(s), len(c)) >= 0.6 and sum(p == q for p, q in zip(s, c)) / max(len(s), len(c)) >= 0.75), None)
+        if not locus:
+            begun += 1
+            locus = f"Locus_{begun:02d}"
+        centroids.setdefault(locus, s)
+        want[k] = locus
+    df = spark.createDataFrame(rows, "seq_id string, locus string, sequence string, ord long").repartition(3)
+    for leaders in (4, 2048):
+        assert {r["ord"]: r["locus"] for r in typing.assigned_loci(df, Cut(spark), leaders=leaders).collect()} == want
+    assert begun > 2 and {r[0] for r in typing.denovo_calls(typing.assigned_loci(df, Cut(spark))).select("seq_id").distinct().collect()} == {r[0] for r in rows}
