@@ -49,8 +49,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "test_items"))
 
 
-def _subjects(spark: SparkSession, folder: str, min_share: float) -> DataFrame:
-    return subjects.subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"), min_share)
+def _subjects(spark: SparkSession, folder: str, min_share: float, misses: bool = False) -> DataFrame:
+    return subjects.subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"), min_share, misses=misses)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.composition(_subjects(spark, folder, 0))
+    return subjects.composition(_subjects(spark, folder, 0, misses=True))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}

@@ -262,11 +262,12 @@ def sentence_counts(table: DataFrame, model, n: int) -> DataFrame:
     return table.mapInArrow(run, "doc_id long, mask long, n_sentences int, hits array<int>")
 
 
-def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, min_share: float = MIN_SHARE, cut: Cut | None = None) -> DataFrame:
+def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, min_share: float = MIN_SHARE, cut: Cut | None = None, misses: bool = False) -> DataFrame:
     """``(doc_id, subject, n_sentences, n_about, share_bin, labelled)`` of each subject a document's sentences are about.
 
     ``documents``: ``(doc_id, text)``; ``labels``: ``(doc_id, subject)``; ``subjects``: ``(subject)``; further columns
-    are ignored. Only subjects of at least ``min_share`` of the sentences have a row (0: all that occur). Null and empty
+    are ignored. Only subjects of at least ``min_share`` of the sentences have a row (0: all that occur). With
+    ``misses`` each document also has a row, of bin -1, for every subject that none of its sentences is about. Null and empty
     texts have none; neither has anything without labels to learn from. Repeated labels count once; of repeated
     ``doc_id`` each row is a document of its own.
     """
@@ -276,15 +277,18 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, mi
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("subject"), F.lit(0).alias("n_sentences"), F.lit(0).alias("n_about"), F.lit(0).alias("share_bin"), F.lit(None).cast("boolean").alias("labelled")).limit(0)
     table = cut.write(featured(documents, label_masks(labels, names)))
     counted = sentence_counts(table, fit(table, len(names)), len(names))
+    if misses:
+        counted = cut.write(counted)  # read twice, by the calibration and by the sums
     each = counted.select("doc_id", "mask", "n_sentences", F.posexplode("hits").alias("k", "n_about"))
     floor = max(1, round(1 / min_share)) if min_share else None
     enough = F.col("n_about") * floor >= F.col("n_sentences") if floor else F.lit(True)
-    return each.filter((F.col("n_about") > 0) & enough).select(
+    hit = (F.col("n_about") > 0) & enough
+    return each.filter(hit | (F.col("n_about") == 0) if misses else hit).select(
         "doc_id",
         F.element_at(F.array(*[F.lit(s) for s in names]), F.col("k") + 1).alias("subject"),
         "n_sentences",
         "n_about",
-        F.floor(F.col("n_about") * BINS / F.col("n_sentences")).cast("int").alias("share_bin"),
+        F.when(F.col("n_about") == 0, -1).otherwise(F.floor(F.col("n_about") * BINS / F.col("n_sentences"))).cast("int").alias("share_bin"),
         F.when(F.col("mask").isNotNull(), F.expr("(shiftright(mask, k) & 1) = 1")).alias("labelled"),
     )
 
@@ -306,22 +310,27 @@ def calibrated(found: DataFrame) -> DataFrame:
     """``found`` (of ``min_share`` 0) with ``posterior``: how likely a clerk gives the subject at this share.
 
     For each subject by itself, on the labelled documents, with the rates of all subjects as a prior worth ten
-    documents. At most ``BINS + 1`` rows a subject reach the driver.
+    documents. Documents without a sentence about the subject (bin -1) have a rate of their own, apart from the shares.
+    At most ``BINS + 2`` rows a subject reach the driver.
     """
     rows = found.filter("labelled is not null").groupBy("subject", "share_bin").agg(F.count("*").alias("n"), F.sum(F.col("labelled").cast("long")).alias("h")).collect()
     n = {}
     for r in rows:
-        n.setdefault(r["subject"], np.zeros((2, BINS + 1)))[:, r["share_bin"]] = r["h"], r["n"]
-    pool = sum(n.values()) if n else np.zeros((2, BINS + 1))
-    base = isotonic(pool[0] + 0.5, pool[1] + 1)
-    fitted = {s: isotonic(v[0] + 10 * base, v[1] + 10) for s, v in n.items()}
-    curve = found.sparkSession.createDataFrame([(s, i, float(x)) for s, v in fitted.items() for i, x in enumerate(v)], "subject string, share_bin int, posterior double")
-    other = F.element_at(F.array(*[F.lit(float(x)) for x in base]), F.col("share_bin") + 1)
+        n.setdefault(r["subject"], np.zeros((2, BINS + 2)))[:, r["share_bin"] + 1] = r["h"], r["n"]
+    pool = sum(n.values()) if n else np.zeros((2, BINS + 2))
+    rates = lambda h, c: np.append(h[0] / c[0], isotonic(h[1:], c[1:]))
+    base = rates(pool[0] + 0.5, pool[1] + 1)
+    fitted = {s: rates(v[0] + 10 * base, v[1] + 10) for s, v in n.items()}
+    curve = found.sparkSession.createDataFrame([(s, i - 1, float(x)) for s, v in fitted.items() for i, x in enumerate(v)], "subject string, share_bin int, posterior double")
+    other = F.element_at(F.array(*[F.lit(float(x)) for x in base]), F.col("share_bin") + 2)
     return found.join(F.broadcast(curve), ["subject", "share_bin"], "left").withColumn("posterior", F.coalesce("posterior", other))
 
 
 def composition(found: DataFrame) -> DataFrame:
-    """``(subject, n_documents, n_about, expected_documents)``: the corpus by subject."""
+    """``(subject, n_documents, n_about, expected_documents)``: the corpus by subject.
+
+    ``found`` has its misses, else the documents that treat a subject unnoticed aren't expected.
+    """
     return calibrated(found).groupBy("subject").agg(
-        F.sum((F.col("n_about") * round(1 / MIN_SHARE) >= F.col("n_sentences")).cast("long")).alias("n_documents"), F.sum("n_about").alias("n_about"), F.round(F.sum("posterior"), 3).alias("expected_documents")
+        F.sum(((F.col("n_about") > 0) & (F.col("n_about") * round(1 / MIN_SHARE) >= F.col("n_sentences"))).cast("long")).alias("n_documents"), F.sum("n_about").alias("n_about"), F.round(F.sum("posterior"), 3).alias("expected_documents")
     )

@@ -171,3 +171,17 @@ def test_subjects_without_labels_or_texts(spark):
 def test_isotonic_never_falls():
     got = subjects.isotonic(np.array([1.0, 5, 2, 9]), np.array([10.0, 10, 10, 10]))
     assert got == pytest.approx([0.1, 0.35, 0.35, 0.9])
+
+
+def test_composition_counts_documents_without_a_sentence_found(spark):
+    schema = "doc_id long, subject string, n_sentences int, n_about int, share_bin int, labelled boolean"
+    seen = [(d, "law", 10, 5, subjects.BINS // 2, d < 80) for d in range(100)]
+    missed = [(100 + d, "law", 10, 0, -1, d < 20 if d < 100 else None) for d in range(1900)]
+    row = subjects.composition(spark.createDataFrame(seen + missed, schema)).first()
+    assert row["n_documents"] == 100 and row["n_about"] == 500 and abs(row["expected_documents"] - 460) < 20
+    docs, truth = corpus(random.Random(2), 60)
+    labels = [(d, s) for d in range(30) for s in (sorted(truth[d]) or [None])]
+    names = spark.createDataFrame([("law",), ("sport",), ("energy",), ("art",)], "subject string")
+    found = subjects.subjects_of(spark.createDataFrame(docs, "doc_id long, text string, subject string"), spark.createDataFrame(labels, "doc_id long, subject string"), names, 0, misses=True).cache()
+    assert found.count() == 4 * 60 and found.filter("labelled is not null").count() == 4 * 30
+    assert found.filter("(n_about = 0) <> (share_bin = -1)").isEmpty()
