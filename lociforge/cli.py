@@ -8,23 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.functions.names import clean_locus_hint, parse_locus
-from lociforge.operators import distance, hierarchy, sheet, typing
+from lociforge.operators import distance, hierarchy, metrics, sheet, typing
 from lociforge.session import Cut, get_session
 from lociforge.sources import files, sinks
 
 
-def calls_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """``(seq_id, locus, marker)`` from call lists, or from contigs with or without references."""
+def calls_of(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """``(specimens, calls)``: ``(seq_id)``, also of specimens without calls, and ``(seq_id, locus, marker)``.
+
+    From call lists, or from contigs with or without references.
+    """
     if args.specimens:
-        _, calls = files.read_call_lists(spark, args.specimens, args.background)
-        return calls.withColumn("locus", parse_locus(F.col("marker")))
+        specimens, calls = files.read_call_lists(spark, args.specimens, args.background)
+        return specimens, calls.withColumn("locus", parse_locus(F.col("marker")))
     contigs = files.read_contigs(spark, args.assembled)
+    specimens = contigs.select("seq_id").distinct()
     if args.references:
         found = typing.match_contigs(contigs, files.read_references(spark, args.references)).join(contigs.select("ord", "seq_id"), "ord")
-        return found.select("seq_id", "marker").distinct().withColumn("locus", parse_locus(F.col("marker")))
+        return specimens, found.select("seq_id", "marker").distinct().withColumn("locus", parse_locus(F.col("marker")))
     named = contigs.withColumn("locus", parse_locus(clean_locus_hint(F.col("locus_hint"))))
     cut = Cut(spark)
-    return typing.denovo_calls(typing.assigned_loci(cut.write(named.select("seq_id", "locus", "sequence", "ord")), cut))
+    return specimens, typing.denovo_calls(typing.assigned_loci(cut.write(named.select("seq_id", "locus", "sequence", "ord")), cut))
 
 
 def pairs_of(calls: DataFrame, metric: str, ploidy: int | None, references: DataFrame | None) -> DataFrame:
@@ -72,18 +76,20 @@ def main(argv: list[str] | None = None) -> None:
         reads = typing.filter_reads(files.read_fastq(spark, args.reads))
         sinks.write_table(typing.read_support(reads, references, args.min_support), args.output, header=False)
     elif args.command == "generate-sheet":
-        sinks.write_sheet(calls_of(spark, args), args.output)
+        specimens, calls = calls_of(spark, args)
+        sinks.write_sheet(calls, args.output, specimens)
     elif args.command == "distances":
         calls = sheet.melt_sheet(files.read_sheet(spark, args.sheet)).withColumn("locus", parse_locus(F.col("marker")))
         sinks.write_matrix(pairs_of(calls, args.metric, args.ploidy, references), args.output)
     elif args.command == "cluster":
         sinks.write_clusters(cluster(files.read_matrix(spark, args.matrix), gold), args.output)
     else:
-        calls = Cut(spark).write(calls_of(spark, args))
-        sinks.write_sheet(calls, f"{args.output}/sheet")
+        specimens, calls = (Cut(spark).write(t) for t in calls_of(spark, args))
+        sinks.write_sheet(calls, f"{args.output}/sheet", specimens)
         pairs = Cut(spark).write(pairs_of(calls, args.metric, args.ploidy, references))
         sinks.write_matrix(pairs, f"{args.output}/matrix")
-        sinks.write_clusters(cluster(pairs, gold), f"{args.output}/clusters")
+        # specimens outside the matrix are reported as -1
+        sinks.write_clusters(metrics.with_excluded(cluster(pairs, gold), specimens, "label"), f"{args.output}/clusters")
 
 
 if __name__ == "__main__":

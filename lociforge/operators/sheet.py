@@ -73,12 +73,17 @@ def snp_locus_weights(calls: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def presence_sheet(calls: DataFrame, markers: list[str] | None = None) -> DataFrame:
-    """The wide sheet: ``Seq_ID`` and a column for each marker, ``X`` or empty, both sorted. Only for the edge."""
+def presence_sheet(calls: DataFrame, markers: list[str] | None = None, specimens: DataFrame | None = None) -> DataFrame:
+    """The wide sheet: ``Seq_ID`` and a column for each marker, ``X`` or empty, both sorted. Only for the edge.
+
+    ``specimens``: ``(seq_id)`` of those that have a row also without calls.
+    """
     names = markers if markers is not None else [r[0] for r in calls.select("marker").distinct().orderBy("marker").limit(20_001).collect()]
     if len(names) > 20_000:
         raise ValueError("more than 20000 markers; keep the sheet in long form")
     wide = calls.groupBy(F.col("seq_id").alias("Seq_ID")).pivot("marker", names).agg(F.first(F.lit("X")))
+    if specimens is not None:
+        wide = specimens.select(F.col("seq_id").alias("Seq_ID")).union(calls.select("seq_id")).distinct().join(wide, "Seq_ID", "left")
     return wide.na.fill("").orderBy("Seq_ID")
 
 

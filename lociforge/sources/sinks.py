@@ -14,8 +14,8 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
-def write_sheet(calls: DataFrame, path: str) -> None:
-    write_table(presence_sheet(calls), path, single=True)
+def write_sheet(calls: DataFrame, path: str, specimens: DataFrame | None = None) -> None:
+    write_table(presence_sheet(calls, specimens=specimens), path, single=True)
 
 
 def write_fasta(records: DataFrame, path: str, name: str = "marker") -> None:

@@ -72,6 +72,19 @@ def test_run_all_and_reads(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "ont"), sep="\t").first()[1] == "L1_H01_TEST"
 
 
+def test_run_all_reports_specimens_without_or_with_few_calls(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"S{i}.txt").write_text("".join(f"L{k}_Hap_{1 + (i > 2)}\n" for k in range(12)))
+    (folder / "EMPTY.txt").write_text("")
+    (folder / "FEW.txt").write_text("L1_Hap_1\n")
+    cli.main(["run-all", "--specimens", str(folder), "--output", str(tmp_path / "out")])
+    got = {r["Seq_ID"]: r["Assigned_cluster"] for r in spark.read.csv(str(tmp_path / "out/clusters"), sep="\t", header=True).collect()}
+    assert set(got) == {"S0", "S1", "S2", "S3", "S4", "EMPTY", "FEW"} and {s for s, c in got.items() if c == "-1"} == {"EMPTY", "FEW"}
+    assert {r["Seq_ID"] for r in files.read_sheet(spark, str(tmp_path / "out/sheet")).collect()} == set(got)
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
