@@ -34,15 +34,13 @@ def calls_of(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame,
 def pairs_of(calls: DataFrame, metric: str, ploidy: int | None, references: DataFrame | None) -> DataFrame:
     if metric == "wibs":
         return distance.wibs_pairs(calls, ploidy)
-    ids = sheet.complete_calls(calls).select("seq_id")
     if metric == "snp-wibs":
         if references is None:
             raise SystemExit("snp-wibs needs --references")
+        ids = sheet.complete_calls(calls).select("seq_id")
         return distance.with_incomparable(distance.snp_pairs(calls, references.select("marker", "sequence"), ploidy), ids, 1.0)
-    first = distance.barratt_pairs(calls, ploidy)
-    second = distance.with_incomparable(distance.plucinski_pairs(calls, ploidy), ids, 2.0)
-    top = first.agg(F.coalesce(F.max("d"), F.lit(1.0)).alias("d")).first()[0]
-    return distance.rank_ensemble(distance.with_incomparable(first, ids, float(top) if top > 0 else 1.0), second)
+    first = distance.barratt_matrix(calls, Cut(calls.sparkSession), ploidy)
+    return distance.rank_ensemble(first, distance.plucinski_pairs(calls, ploidy, every=True))
 
 
 def cluster(pairs: DataFrame, gold: DataFrame | None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lociforge.functions.sequences import hamming
 from lociforge.operators.sheet import allele_frequencies, allele_shares, complete_calls, entropies, marker_dimension, snp_locus_weights
+from lociforge.session import Cut
 
 BLOCK = 1024
 EPSILON = 0.3072
@@ -146,8 +147,11 @@ def _loci(p: _Pair, pdf: pd.DataFrame):
         yield at, held[p.left], held[p.right], allele
 
 
-def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK) -> DataFrame:
-    """``(i, j, d)`` of comparable pairs: entropy-weighted heuristic distance, mean over common loci."""
+def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """``(i, j, d)`` of comparable pairs: entropy-weighted heuristic distance, mean over common loci.
+
+    With ``every`` all pairs, ``d`` being null without a common locus; ``barratt_matrix`` fills it.
+    """
     kept = complete_calls(calls, min_completeness)
     loci = entropies(kept).join(marker_dimension(calls, ploidy).select("locus", "ploidy").distinct(), "locus")
     own = kept.join(loci, "locus").select("seq_id", "locus", "marker", "entropy", "ploidy")
@@ -165,15 +169,18 @@ def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10,
             comparable = (na > 0) & (nb > 0)
             total += np.where(comparable, pdf["entropy"].iat[at[0]] * delta, 0)
             common += comparable
+        if every:
+            return p.rows(np.where(common > 0, total / np.maximum(common, 1), np.nan))
         return p.rows(total / np.maximum(common, 1), common > 0)
 
     return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
 
 
-def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min_completeness: float = 0.10, block: int = BLOCK) -> DataFrame:
+def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min_completeness: float = 0.10, block: int = BLOCK, every: bool = False) -> DataFrame:
     """``(i, j, d)`` of comparable pairs: expected number of loci copies not shared, from 0 to 2.
 
-    Sums of log-likelihoods for two, one and no shared copies over the common loci; equal weights before.
+    Sums of log-likelihoods for two, one and no shared copies over the common loci; equal weights before. With
+    ``every`` all pairs, 2 without a common locus.
     """
     kept = complete_calls(calls, min_completeness)
     shares = allele_shares(kept).select("locus", "marker", F.greatest("share", F.lit(1e-4)).alias("p"))
@@ -204,11 +211,20 @@ def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min
                 sums[k] += np.where(comparable, x, 0)
             common |= comparable
         e = np.exp(sums - sums.max(0))
-        return pair.rows((e[1] + 2 * e[0]) / e.sum(0), common)
+        d = (e[1] + 2 * e[0]) / e.sum(0)
+        return pair.rows(np.where(common, d, 2.0)) if every else pair.rows(d, common)
 
     return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
 
 
+def barratt_matrix(calls: DataFrame, cut: Cut, ploidy=None, min_completeness: float = 0.10) -> DataFrame:
+    """``(i, j, d)`` of all pairs: ``barratt_pairs``, and the greatest of them (1 where that is 0) without a common locus."""
+    d = F.when(~F.isnan("d"), F.col("d"))
+    pairs = cut.write(barratt_pairs(calls, ploidy, min_completeness, every=True).withColumn("d", d))
+    top = pairs.agg(F.max("d")).first()[0] or 1.0
+    return pairs.withColumn("d", F.coalesce("d", F.lit(top)))
+
+
 def fractional_ranks(pairs: DataFrame, places: int = 12) -> DataFrame:
     """``(i, j, f)``: average rank of each distance over the number of pairs.
 

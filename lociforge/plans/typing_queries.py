@@ -233,6 +233,26 @@ def rank_ensemble(spark, folder):
     return _rounded(distance.rank_ensemble(first, second), "d")
 
 
+def barratt_matrix(spark, folder):
+    """As ``barratt_pairs``, with the pairs without a common locus at the greatest distance."""
+    return _rounded(distance.barratt_matrix(_calls(spark, folder), Cut(spark)), "d")
+
+
+def plucinski_matrix(spark, folder):
+    """As ``plucinski_pairs``, with the pairs without a common locus at 2."""
+    return _rounded(distance.plucinski_pairs(_calls(spark, folder), every=True), "d")
+
+
+def snp_wibs_matrix(spark, folder):
+    """As ``snp_wibs_pairs``, with the pairs without a common locus at 1."""
+    return distance.with_incomparable(snp_wibs_pairs(spark, folder), sheet.complete_calls(_calls(spark, folder)).select("seq_id"), 1.0)
+
+
+def rank_ensemble_matrix(spark, folder):
+    """As ``rank_ensemble``, over all pairs."""
+    return _rounded(distance.rank_ensemble(barratt_matrix(spark, folder), plucinski_matrix(spark, folder)), "d")
+
+
 def double_centring(spark, folder):
     g = _rounded(distance.double_centred(distance.wibs_pairs(_calls(spark, folder))), "g")
     return g.withColumn("g", F.when(F.col("g") == 0, F.lit(0.0)).otherwise(F.col("g")))  # no negative zero
@@ -377,7 +397,7 @@ def supervised_clusters(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        wibs_pairs, snp_wibs_pairs, barratt_pairs, plucinski_pairs, rank_ensemble, double_centring, locus_parse, norm_name, content_hash, haplotype_id, locus_hint,
+        barratt_matrix, plucinski_matrix, snp_wibs_matrix, rank_ensemble_matrix, wibs_pairs, snp_wibs_pairs, barratt_pairs, plucinski_pairs, rank_ensemble, double_centring, locus_parse, norm_name, content_hash, haplotype_id, locus_hint,
         presence_cells, completeness, complete_specimens, marker_dimension, locus_called, allele_frequency, allele_share, locus_entropy, snp_weight, haplotype_rank,
         haplotype_rank_all, denovo_calls_all, denovo_calls, contig_match, hinted_identity, read_filter, read_support, junction_trim, longest_contig, consensus, gold_threshold_mad, gold_threshold_sd,
         distance_auc, within_percent, cluster_sizes, adjusted_rand, cluster_relabel, excluded_specimens, id_collision, metric_correlation, micro_clusters,
@@ -478,3 +498,17 @@ ORACLE = {
       reach as (select a, a as b from e union select r.a, e.b from reach r join e on e.a = r.b), c as (select a as seq_id, min(b) as first_seq_id from reach group by 1)
       select seq_id, first_seq_id, count(*) over (partition by first_seq_id) as size from c""",
 }
+
+_ALL = "every_pair as (select a.seq_id as i, b.seq_id as j from complete a join complete b on a.seq_id < b.seq_id)"
+_BARRATT_ALL = "barratt_all as (select i, j, round(coalesce(d, (select case when max(d) > 0 then max(d) else 1 end from barratt)), 6) as d from every_pair left join barratt using (i, j))"
+_PLUCINSKI_ALL = "plucinski_all as (select i, j, round(coalesce(d, 2), 6) as d from every_pair left join plucinski using (i, j))"
+
+ORACLE |= {
+    "barratt_matrix": f"with {BARRATT},{_ALL},{_BARRATT_ALL} select i, j, d from barratt_all",
+    "plucinski_matrix": f"with {KEPT},{PAIRS},{SHARES},{PLUCINSKI},{_ALL},{_PLUCINSKI_ALL} select i, j, d from plucinski_all",
+    "snp_wibs_matrix": f"with {KEPT},{_ALL}, s as ({ORACLE['snp_wibs_pairs']}) select i, j, coalesce(d, 1) as d from every_pair left join s using (i, j)",
+    "rank_ensemble_matrix": f"""with {BARRATT},{PLUCINSKI},{_ALL},{_BARRATT_ALL},{_PLUCINSKI_ALL},
+      ra as (select i, j, (rank() over (order by d) + (count(*) over (partition by d) - 1) / 2) / count(*) over () as f from barratt_all),
+      rb as (select i, j, (rank() over (order by d) + (count(*) over (partition by d) - 1) / 2) / count(*) over () as f from plucinski_all)
+      select i, j, round((ra.f + rb.f) / 2, 6) as d from ra join rb using (i, j)""",
+}

@@ -176,3 +176,16 @@ def test_contigs_without_hint_get_the_locus_their_sequence_tells(spark):
     for leaders in (4, 2048):
         assert {r["ord"]: r["locus"] for r in typing.assigned_loci(df, Cut(spark), leaders=leaders).collect()} == want
     assert begun > 2 and {r[0] for r in typing.denovo_calls(typing.assigned_loci(df, Cut(spark))).select("seq_id").distinct().collect()} == {r[0] for r in rows}
+
+
+def test_pairs_without_a_common_locus_are_in_the_matrix(spark):
+    own = calls(spark, {"A": ["Nu_1_Hap_1", "Nu_2_Hap_1"], "B": ["Nu_1_Hap_2", "Nu_2_Hap_1"], "C": ["Nu_3_Hap_1"], "D": ["Nu_3_Hap_2", "Nu_1_Hap_1"]})
+    apart = {("A", "C"), ("B", "C")}
+    some = as_dict(distance.barratt_pairs(own))
+    first = distance.barratt_matrix(own, Cut(spark))
+    second = distance.plucinski_pairs(own, every=True)
+    every = {(a, b) for a in "ABCD" for b in "ABCD" if a < b}
+    assert set(some) == every - apart and as_dict(first) == pytest.approx(some | {p: max(some.values()) for p in apart})
+    assert as_dict(second) == pytest.approx(as_dict(distance.plucinski_pairs(own)) | {p: 2.0 for p in apart})
+    ranks = as_dict(distance.rank_ensemble(first, second))
+    assert set(ranks) == every and all(ranks[p] == max(ranks.values()) for p in apart)
