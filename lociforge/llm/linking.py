@@ -5,19 +5,50 @@
    component needs none. These cross pairs are joined by (bucket, component), so that a bucket with one large component
    and a few others costs their product, not the square.
 
-For groups this loses nothing: a pair that is skipped is already connected.
+For groups this loses nothing: a pair that is skipped is already connected. Every join runs in parts of about ``PART``
+records of a key, so that no hot bucket or component is one task's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.operators.components import connected_components
 from lociforge.session import Cut
 
+PART = 512
+
+
+def parts_of(n: str) -> Column:
+    return F.ceil(F.col(n) / PART).cast("int")
+
+
+def pairs_within(own: DataFrame, key: list[str], node: str = "node", payload: str | None = None) -> DataFrame:
+    """``(key, a, b)``, a before b, of all pairs of a key; with ``payload`` also that of either as ``_ta`` and ``_tb``.
+
+    ``own``: ``(key, node, _p)``, ``_p`` being in how many parts the key's left side goes.
+    """
+    extra = lambda to: [F.col(payload).alias(to)] if payload else []
+    left = own.select(*key, F.col(node).alias("a"), F.pmod(F.xxhash64(node), "_p").alias("_s"), *extra("_ta"))
+    right = own.select(*key, F.col(node).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p").cast("long") - 1)).alias("_s"), *extra("_tb"))
+    return left.join(right, [*key, "_s"]).filter("a < b").drop("_s")
+
+
+def cross_pairs(placed: DataFrame, cut: Cut) -> DataFrame:
+    """``(a, b)``, distinct, of the records of different components that share a key; ``placed``: ``(key, node, comp)``."""
+    sides = cut.write(placed.groupBy("key", "comp").agg(F.count("*").alias("n")))
+    per_key = sides.groupBy("key").agg(F.count("*").alias("_c")).select("key", parts_of("_c").alias("_p"))
+    meet = pairs_within(sides.select("key", "comp").join(per_key, "key"), ["key"], "comp").select("key", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    parts = sides.select("key", "comp", parts_of("n").alias("_p"))
+    own = placed.join(parts, ["key", "comp"]).select("key", "comp", "node", F.pmod(F.xxhash64("node"), "_p").cast("int").alias("_s"))
+    for c, n in (("ca", "na"), ("cb", "nb")):
+        meet = meet.join(parts.withColumnRenamed("comp", c), ["key", c]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p")
+        meet = meet.join(own.withColumnRenamed("comp", c).withColumnRenamed("node", n), ["key", c, "_s"]).drop("_s")
+    return meet.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+
 
 def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], cut: Cut) -> tuple[DataFrame, DataFrame]:
     """``(node, comp)`` of all records with a link, and the links ``(a, b, sim)`` that were found.
@@ -37,15 +68,8 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     held = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
     placed = cut.write(placed.join(held, "key", "left_semi"))
     cut.drop(live)
-    sides = placed.select("key", "comp").distinct()
-    pairs = (
-        sides.select("key", F.col("comp").alias("ca")).join(sides.select("key", F.col("comp").alias("cb")), "key").filter("ca < cb")
-        .join(placed.select("key", F.col("comp").alias("ca"), F.col("node").alias("na")), ["key", "ca"])
-        .join(placed.select("key", F.col("comp").alias("cb"), F.col("node").alias("nb")), ["key", "cb"])
-        .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-        .distinct()
-    )
-    second = cut.write(verify(pairs))
+    second = cut.write(verify(cut.write(cross_pairs(placed, cut))))
+    cut.drop(placed)
     links = first.unionByName(second)
     # components of components: the first ones are contracted, so only cross links and their stars go round
     stars = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
