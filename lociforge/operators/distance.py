@@ -1,8 +1,8 @@
 """Pairwise specimen distances.
 
 The metrics are sums over common loci, made of matrix products: specimens are dealt to blocks, each pair of blocks is
-one task with a bounded number of specimens, and no row is made for a pair and locus. The sequence metric is a join on
-the locus of one row for each specimen and locus.
+one task with a bounded number of specimens, and no row is made for a pair and locus. The sequence metric takes least
+distances of alleles the same way.
 """
 
 from __future__ import annotations
@@ -11,27 +11,36 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.functions.sequences import hamming
+from lociforge.operators.ordering import value_counts
 from lociforge.operators.sheet import allele_frequencies, allele_shares, complete_calls, entropies, marker_dimension, snp_locus_weights
 from lociforge.session import Cut
 
 BLOCK = 1024
+SLICE = 4096
 EPSILON = 0.3072
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """The rows with ``(bi, bj, b)``: each specimen's block, and every pair of blocks that it is compared in."""
-    blocks = max(1, math.ceil(rows.select("seq_id").distinct().count() / block))
+def _blocks(rows: DataFrame, block: int) -> int:
+    return max(1, math.ceil(rows.select("seq_id").distinct().count() / block))
+
+
+def _spread(rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows of blocks ``b`` with ``(bi, bj)``: every pair of blocks that they are compared in."""
     return (
-        rows.withColumn("b", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumn("bi", F.least("b", "_o")).withColumn("bj", F.greatest("b", "_o")).drop("_o")
     )
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """The rows with ``(bi, bj, b)``: each specimen's block, and every pair of blocks that it is compared in."""
+    blocks = _blocks(rows, block)
+    return _spread(rows.withColumn("b", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int")), blocks)
+
+
 class _Pair:
     """The specimens of two blocks: ``s`` is each row's specimen, ``left`` and ``right`` those of either block."""
 
@@ -78,31 +87,19 @@ def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, bl
         shared = np.flatnonzero(np.bincount(marker) > 1)
         place = np.full(marker.max() + 1, -1)
         place[shared] = np.arange(len(shared))
-        ok = place[marker] >= 0
-        root = np.zeros((len(p.ids), len(shared)))
-        root[p.s[ok], place[marker[ok]]] = np.sqrt(wq[ok])
         den = (called[p.left] * wl) @ called[p.right].T
-        num = held[p.left] @ called[p.right].T + called[p.left] @ held[p.right].T - 2 * (root[p.left] @ root[p.right].T)
+        num = held[p.left] @ called[p.right].T + called[p.left] @ held[p.right].T
+        for lo in range(0, len(shared), SLICE):  # so that memory doesn't follow the number of markers
+            ok = (place[marker] >= lo) & (place[marker] < lo + SLICE)
+            root = np.zeros((len(p.ids), min(SLICE, len(shared) - lo)))
+            root[p.s[ok], place[marker[ok]] - lo] = np.sqrt(wq[ok])
+            num -= 2 * (root[p.left] @ root[p.right].T)
         d = np.where(den > 0, np.maximum(num, 0) / np.where(den > 0, den, 1), 1.0)
         return p.rows(d, None if max_distance is None else d <= max_distance)
 
     return _dealt(own, block).groupBy("bi", "bj").applyInPandas(products, "i string, j string, d double")
 
 
-def _per_locus(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("locus", "seq_id").agg(F.sort_array(F.collect_set("marker")).alias("markers"))
-
-
-def _locus_pairs(per: DataFrame) -> DataFrame:
-    """One row for each pair of specimens and common locus; a hot locus is split over salted parts of the left side."""
-    a = per.select("locus", F.col("seq_id").alias("i"), F.col("markers").alias("v1"), *[F.col(c).alias(f"{c}_1") for c in per.columns if c not in ("locus", "seq_id", "markers")])
-    b = per.select("locus", F.col("seq_id").alias("j"), F.col("markers").alias("v2"), *[F.col(c).alias(f"{c}_2") for c in per.columns if c not in ("locus", "seq_id", "markers")])
-    salts = 8
-    a = a.withColumn("_s", F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int"))
-    b = b.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, ["locus", "_s"]).filter("i < j").drop("_s")
-
-
 def all_pairs(specimens: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(i, j)`` of all specimens, i before j, by blocks: the left side of a fill, not a way to find links."""
     n = max(1, math.ceil(specimens.select("seq_id").distinct().count() / block))
@@ -113,27 +110,60 @@ def all_pairs(specimens: DataFrame, block: int = BLOCK) -> DataFrame:
     return a.join(b, ["bi", "bj"]).filter("i < j").select("i", "j")
 
 
-def snp_pairs(calls: DataFrame, sequences: DataFrame, ploidy=None, min_completeness: float = 0.10) -> DataFrame:
+def _allele_distances(sequences: list[str | None]) -> np.ndarray:
+    """Mismatches on the common prefix plus the difference of lengths, over the greater length; 1 without a sequence."""
+    n = len(sequences)
+    lengths = np.array([len(s or "") for s in sequences])
+    letters = np.zeros((n, max(lengths, default=0)), np.uint8)
+    for k, s in enumerate(sequences):
+        letters[k, : lengths[k]] = np.frombuffer((s or "").encode(), np.uint8)
+    out = np.ones((n, n))
+    for k in range(n):
+        if sequences[k] is not None:
+            longest = np.maximum(lengths, lengths[k])
+            equal = (letters[:, : lengths[k]] == letters[k, : lengths[k]]).sum(1)
+            out[k] = np.where([s is not None for s in sequences], np.where(longest > 0, (longest - equal) / np.maximum(longest, 1), 0), 1)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def snp_pairs(calls: DataFrame, sequences: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, every: bool = False) -> DataFrame:
     """``(i, j, d)`` of comparable pairs: mean over common loci of the least sequence distance of their alleles.
 
-    ``sequences``: ``(marker, sequence)``; an allele without one is at distance 1 from all others. The distances of the
-    alleles of a locus are worked out once and looked up.
+    ``sequences``: ``(marker, sequence)``; an allele without one is at distance 1 from all others. With ``every`` all
+    pairs, 1 without a common locus. Each pair of blocks gets the sequences of its own markers.
     """
     kept = complete_calls(calls, min_completeness)
     weights = snp_locus_weights(kept, marker_dimension(calls, ploidy))
-    markers = kept.select("locus", "marker").distinct().join(sequences, "marker", "left")
-    x = markers.select("locus", F.col("marker").alias("m1"), F.col("sequence").alias("s1"))
-    y = markers.select("locus", F.col("marker").alias("m2"), F.col("sequence").alias("s2"))
-    table = x.join(y, "locus").filter("m1 < m2 and s1 is not null and s2 is not null").select("locus", "m1", "m2", hamming(F.col("s1"), F.col("s2")).alias("md"))
-    pairs = _locus_pairs(_per_locus(kept))
-    shared = F.arrays_overlap("v1", "v2")
-    same = pairs.filter(shared).select("i", "j", "locus", F.lit(0.0).alias("dl"))
-    apart = pairs.filter(~shared).select("i", "j", "locus", F.explode("v1").alias("x"), "v2").select("i", "j", "locus", "x", F.explode("v2").alias("y"))
-    apart = (
-        apart.withColumn("m1", F.least("x", "y")).withColumn("m2", F.greatest("x", "y")).join(table, ["locus", "m1", "m2"], "left")
-        .groupBy("i", "j", "locus").agg(F.min(F.coalesce("md", F.lit(1.0))).alias("dl"))
-    )
-    return same.unionByName(apart).join(F.broadcast(weights), "locus").groupBy("i", "j").agg((F.sum(F.col("dl") * F.col("w")) / F.sum("w")).alias("d"))
+    blocks = _blocks(kept, block)
+    own = kept.join(weights, "locus").withColumn("b", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int")).select("seq_id", "locus", "marker", "w", "b")
+    known = own.select("b", "marker").distinct().join(sequences.filter("sequence is not null").groupBy("marker").agg(F.first("sequence").alias("sequence")), "marker")
+    known = known.select(F.col("b").alias("kb"), F.col("marker").alias("km"), "sequence").toDF("b", "allele", "text")
+
+    def scores(key: tuple, pdf: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        p = _Pair(key, pdf)
+        of = dict(zip(texts["allele"], texts["text"]))
+        total, weight = np.zeros((len(p.left), len(p.right))), np.zeros((len(p.left), len(p.right)))
+        for at, a, b, allele in _loci(p, pdf):
+            names = np.empty(a.shape[1], object)
+            names[allele] = pdf["marker"].to_numpy()[at]
+            apart = _allele_distances([of.get(m) for m in names])
+            from_right = np.full((len(names), len(p.right)), np.inf)  # of each allele from each right specimen
+            for m in range(len(names)):
+                has = np.flatnonzero(b[:, m])
+                from_right[:, has] = np.minimum(from_right[:, has], apart[:, m : m + 1])
+            least = np.full(total.shape, np.inf)
+            for m in range(len(names)):
+                has = np.flatnonzero(a[:, m])
+                least[has] = np.minimum(least[has], from_right[m])
+            common = np.isfinite(least)
+            w = pdf["w"].iat[at[0]]
+            total += np.where(common, np.where(common, least, 0) * w, 0)
+            weight += common * w
+        d = np.where(weight > 0, total / np.where(weight > 0, weight, 1), 1.0)
+        return p.rows(d) if every else p.rows(d, weight > 0)
+
+    return _spread(own, blocks).groupBy("bi", "bj").cogroup(_spread(known, blocks).groupBy("bi", "bj")).applyInPandas(scores, "i string, j string, d double")
 
 
 def _loci(p: _Pair, pdf: pd.DataFrame):
@@ -225,18 +255,21 @@ def barratt_matrix(calls: DataFrame, cut: Cut, ploidy=None, min_completeness: fl
     return pairs.withColumn("d", F.coalesce("d", F.lit(top)))
 
 
-def fractional_ranks(pairs: DataFrame, places: int = 12) -> DataFrame:
-    """``(i, j, f)``: average rank of each distance over the number of pairs.
+def with_ranks(rows: DataFrame, col: str, name: str, places: int = 12, cut: Cut | None = None) -> DataFrame:
+    """The rows with ``name``: the average rank of ``col`` over the number of rows.
 
-    Distances are rounded first, as sums in another order would split ties. The distinct values are counted, and only
-    they, not the pairs, are put in order.
+    Values are rounded first, as sums in another order would split ties. The distinct values are counted, and only they
+    are put in order, in ranges.
     """
-    own = pairs.select("i", "j", F.round("d", places).alias("d"))
-    counts = own.groupBy("d").agg(F.count("*").alias("n"))
-    below = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy())
-    ranked = counts.select("d", ((F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2) / total).alias("f"))
-    return own.join(ranked, "d").select("i", "j", "f")
+    cut = cut or Cut(rows.sparkSession)
+    own = cut.write(rows.withColumn("_v", F.round(col, places)))
+    ranks = value_counts(own, "_v", cut).select("_v", ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(name))
+    return own.join(ranks, "_v").drop("_v")
+
+
+def fractional_ranks(pairs: DataFrame, places: int = 12) -> DataFrame:
+    """``(i, j, f)``: average rank of each distance over the number of pairs."""
+    return with_ranks(pairs.select("i", "j", "d"), "d", "f", places).select("i", "j", "f")
 
 
 def rank_ensemble(first: DataFrame, second: DataFrame) -> DataFrame:

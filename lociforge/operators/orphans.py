@@ -1,8 +1,9 @@
 """References to records that do not exist: Bloom filter first, exact join only for what it lets through.
 
 The filter is blocked: all bits of a key lie in one 64-bit word, so that it is a table ``(word, bits)`` built by a
-partial aggregate and probed by one broadcast hash join on the word's number. Its size is bounded by ``max_words``
-whatever the number of parent keys; a fuller filter only sends more references to the exact join.
+partial aggregate and probed by a join on the word's number. It has ``BITS_PER_KEY`` bits for each parent key, so what it
+proves doesn't change with their number. It is broadcast up to ``MAX_BROADCAST`` words (8 bytes each); a larger one is
+spread over the cluster by word, and each part meets its own references.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from lociforge.functions.identifiers import clean_id
 
 BITS_PER_KEY = 16
 PROBES = 5
-MAX_WORDS = 1 << 19
+MAX_BROADCAST = 1 << 20
 
 
 def _word(key: Column, words: int) -> Column:
@@ -32,11 +33,11 @@ def _mask(key: str) -> Column:
     return mask
 
 
-def bloom_filter(parents: DataFrame, key: str, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
-    """``(word, bits)`` over the distinct parent keys and the number of words, at most ``max_words``."""
+def bloom_filter(parents: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``(word, bits)`` over the distinct parent keys, and the number of words, in proportion to them."""
     keys = parents.select(F.col(key).alias("_k")).filter("_k is not null")
     n = max(1, parents.select(F.approx_count_distinct(key)).first()[0])
-    words = min(max_words, 1 << max(4, math.ceil(math.log2(n * BITS_PER_KEY / 64))))
+    words = 1 << max(4, math.ceil(math.log2(n * BITS_PER_KEY / 64)))
     table = keys.select(_word(F.col("_k"), words).alias("word"), _mask("_k").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return table, words
 
@@ -50,7 +51,7 @@ def references(spark_table: DataFrame, name: str, row: str, ids: list[str], at:
     )
 
 
-def orphans(refs: DataFrame, parents: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``refs`` ``(ref_table, row_no, seq_id, at)`` whose id no parent row holds at that time.
 
     ``parents``: ``(seq_id, received_at, removed_at)``; a row holds its id from ``received_at`` until before
@@ -60,11 +61,12 @@ def orphans(refs: DataFrame, parents: DataFrame, max_words: int = MAX_WORDS) ->
     """
     refs = refs.select("ref_table", "row_no", "seq_id", "at")
     held = parents.select(clean_id("seq_id").alias("seq_id"), F.col("received_at").cast("timestamp_ntz").alias("_from"), F.col("removed_at").cast("timestamp_ntz").alias("_to")).filter("seq_id is not null")
-    filter_table, words = bloom_filter(held, "seq_id", max_words)
+    filter_table, words = bloom_filter(held, "seq_id")
+    near = F.broadcast(filter_table) if words <= max_broadcast else filter_table
     probed = (
         refs.withColumn("_mask", _mask("seq_id"))
         .withColumn("word", _word(F.col("seq_id"), words))
-        .join(F.broadcast(filter_table), "word", "left")
+        .join(near, "word", "left")
         .withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))
         .select("ref_table", "row_no", "seq_id", "at", "_maybe")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,23 +36,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) an own one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all tasks run on this machine, an own one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
     return _OWN_FOLDER[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Cut:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer needed."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer needed, ``close`` all.
+
+    ``with Cut(spark) as cut:`` closes it at the end of the block, where the result must have been written. What is
+    still open when Python exits, or at ``close_cuts``, is closed then.
+    """
+
+    _open: ClassVar[dict[str, SparkSession]] = {}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
         self.count = 0
+        Cut._open[self.folder] = spark
+
+    def __enter__(self) -> Cut:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        if Cut._open.pop(self.folder, None) is not None:
+            _delete(self.spark, self.folder)
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` once and read it back: one pass, on files that every executor can reach."""
@@ -69,8 +95,20 @@ class Cut:
         for df in tables:
             path = getattr(df, "_cut_path", None)
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
+
+
+def close_cuts() -> None:
+    """Delete the tables of all cuts: once the results that read them are written, or at the end."""
+    for folder, spark in list(Cut._open.items()):
+        Cut._open.pop(folder)
+        try:
+            _delete(spark, folder)
+        except Exception:  # noqa: BLE001, S110
+            pass  # the session has ended; the folder's owner clears it
+
+
+atexit.register(close_cuts)
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from lociforge.operators import orphans
 
 
@@ -25,7 +27,7 @@ def test_times(spark):
     ]
     want = {(1, "A"), (3, "A"), (5, "Z"), (6, "Z"), (7, "C")}
     assert dangling(spark, refs, parents) == want
-    assert dangling(spark, refs + refs, parents + parents, max_words=1) == want  # a full filter only costs time
+    assert dangling(spark, refs + refs, parents + parents, max_broadcast=0) == want  # a filter spread over the cluster
 
 
 def test_against_brute_force_with_a_hot_id(spark):
@@ -41,6 +43,15 @@ def test_against_brute_force_with_a_hot_id(spark):
     assert dangling(spark, refs, parents) == want
 
 
+def test_what_the_filter_proves_does_not_fall_with_the_keys(spark):
+    for n in (200, 2000):
+        parents = spark.range(n).select(F.format_string("S%d", "id").alias("seq_id"), F.lit(day(1)).alias("received_at"), F.lit(None).cast("timestamp").alias("removed_at"))
+        refs = spark.range(1000).select(F.lit("t").alias("ref_table"), F.col("id").alias("row_no"), F.format_string("X%d", "id").alias("seq_id"), F.lit(day(2)).cast("timestamp_ntz").alias("at"))
+        for max_broadcast in (0, 1 << 20):
+            found = orphans.orphans(refs, parents, max_broadcast)
+            assert found.count() == 1000 and found.filter("definite").count() >= 970
+
+
 def test_empty_and_report(spark):
     assert dangling(spark, [], []) == set()
     assert dangling(spark, [(1, "A", None, day(1), 0)], []) == {(1, "A")}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociforge.functions import names, sequences
-from lociforge.operators import components, distance, hierarchy, metrics, sheet, typing
+from lociforge.operators import components, distance, hierarchy, metrics, ordering, sheet, typing
 from lociforge.session import Cut
 
 
@@ -65,6 +65,10 @@ def test_snp_distance_follows_the_sequences(spark):
     seqs = spark.createDataFrame([("L1_H01", "A" * 100), ("L1_H02", "A" * 99 + "C"), ("L1_H03", "A" * 90 + "C" * 10)], "marker string, sequence string")
     got = as_dict(distance.snp_pairs(calls(spark, {"S1": ["L1_H01"], "S2": ["L1_H02"], "S3": ["L1_H03"], "S4": ["L1_H04"]}), seqs, None, 0.0))
     assert got[("S1", "S2")] == pytest.approx(0.01) and got[("S1", "S3")] == pytest.approx(0.1) and got[("S1", "S4")] == 1.0
+    mixed = calls(spark, {"S1": ["L1_H01", "L2_H05"], "S2": ["L1_H02", "L1_H03"], "S3": ["L2_H06"], "S4": ["L2_H06", "L3_H01"]})
+    for block in (1024, 1):
+        got = as_dict(distance.snp_pairs(mixed, seqs, None, 0.0, block=block, every=True))
+        assert got[("S1", "S2")] == pytest.approx(0.01) and got[("S1", "S3")] == 1.0 and got[("S2", "S3")] == 1.0 and got[("S3", "S4")] == 0.0 and len(got) == 6
 
 
 def test_ranks_and_thresholds(spark):
@@ -103,12 +107,54 @@ def test_ward_and_selection(spark):
     tree, cophenetic = hierarchy.ward_tree(pairs, cut, with_cophenetic=True)
     assert sorted(r["height"] for r in tree.collect()) == pytest.approx(sorted(naive_ward(d, 12)))
     assert cophenetic.count() == 66
+    for rest in (1, 3):  # all rounds, and a bounded rest in one task
+        again, met = hierarchy.ward_tree(pairs, cut, with_cophenetic=True, rest=rest)
+        assert sorted(r["height"] for r in again.collect()) == pytest.approx(sorted(r["height"] for r in tree.collect()))
+        assert {(r["i"], r["j"]): round(r["height"], 9) for r in met.collect()} == {(r["i"], r["j"]): round(r["height"], 9) for r in cophenetic.collect()}
     labels, k, _ = hierarchy.knee_clusters(pairs, cut)
     assert k == 2 and {r["seq_id"]: r["label"] for r in labels.collect()} == {f"S{i:02d}": 1 + i // 6 for i in range(12)}
     gold = spark.createDataFrame([(f"S{i:02d}", str(i // 6)) for i in range(12)], "seq_id string, cluster_alias string")
     assert hierarchy.supervised_clusters(pairs, gold, cut)[1] == 2
 
 
+def test_ward_with_many_equal_items(spark):
+    rng = random.Random(7)
+    points = [(0.0, 0.0)] * 60 + [(9.0, 1.0)] * 5 + [(rng.random(), rng.random()) for _ in range(9)]
+    n = len(points)
+    d = {(i, j): math.dist(points[i], points[j]) for i in range(n) for j in range(i + 1, n)}
+    pairs = spark.createDataFrame([(f"S{j:02d}", f"S{i:02d}", v) for (i, j), v in d.items()], "i string, j string, d double")
+    cut = Cut(spark)
+    want = sorted(naive_ward(d, n))
+    for rest in (4, 1024):
+        tree, cophenetic = hierarchy.ward_tree(pairs, cut, with_cophenetic=True, rest=rest)
+        rows = tree.orderBy("step").collect()
+        assert [r["height"] for r in rows] == pytest.approx(want, abs=1e-7) and [r["step"] for r in rows] == list(range(n - 1)) and rows[-1]["size"] == n
+        assert cophenetic.count() == n * (n - 1) // 2
+        assert sum(r["height"] ** 2 for r in rows) == pytest.approx(2 / n * sum(v * v for v in d.values()))
+    assert hierarchy.ward_tree(pairs.limit(0), cut)[0].count() == 0
+    one = pairs.limit(1)
+    assert hierarchy.ward_tree(one, cut)[0].count() == 1
+    alike = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)], "i string, j string, d double")  # ties
+    assert [r["height"] for r in hierarchy.ward_tree(alike, cut, rest=1)[0].orderBy("step").collect()] == pytest.approx([1.0, math.sqrt(1)])
+    gaps = {r["k"]: r["gap"] for r in hierarchy.height_gaps(tree, 3).collect()}
+    assert sorted(gaps) == [2, 3] and gaps[2] == pytest.approx(want[-1] - want[-2])
+
+
+def test_order_in_ranges(spark):
+    rng = random.Random(2)
+    values = [round(rng.random(), 2) for _ in range(501)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "d double").repartition(5)
+    got = {r["d"]: (r["n"], r["below"], r["total"]) for r in ordering.value_counts(df.filter("d is not null"), "d").collect()}
+    known = sorted(v for v in values if v is not None)
+    assert got == {v: (known.count(v), sum(x < v for x in known), 501) for v in known}
+    assert ordering.exact_median(df, "d") == known[250] and ordering.exact_median(df.limit(0), "d") is None
+    even = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 9)], "d double")
+    assert ordering.exact_median(even, "d") == 3.0
+    names = [f"x{i:04d}" for i in range(300)]
+    df = spark.createDataFrame([(s,) for s in rng.sample(names, 300)], "s string").repartition(6)
+    assert {r["s"]: r["no"] for r in ordering.numbered(df, ["s"], "no", start=1).collect()} == {s: i + 1 for i, s in enumerate(names)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(0, 400 + i) for i in range(100)] + [(7, 7)]
