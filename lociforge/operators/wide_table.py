@@ -99,15 +99,8 @@ def last_cells(cells: DataFrame, attributes: DataFrame) -> DataFrame:
     )
 
 
-def widen(cells: DataFrame, attributes: DataFrame, batch_entities: int = BATCH_ENTITIES) -> DataFrame:
-    """One row per ``seq_id`` that has a known attribute, one typed column per attribute of ``attributes``.
-
-    ``cells``: ``(cell_no, seq_id, attr_name, attr_value, entered_at)``; further columns are ignored. ``attributes``:
-    ``(spelling, attr_name, attr_type)``, at most ``MAX_ATTRIBUTES`` rows (a dimension; checked, as it is broadcast and
-    gives the result's schema). Blank or unreadable last values leave the cell null; an entity whose cells are all
-    empty keeps its row of nulls. Empty tables give an empty result with the full schema. An attribute named
-    ``seq_id`` becomes ``attr_seq_id``; attributes equal but for case are told apart by a number.
-    """
+def attribute_kinds(attributes: DataFrame) -> dict[str, str]:
+    """The type of each attribute, in the order of their columns."""
     known = [tuple(r) for r in attributes.select("attr_name", "attr_type").filter("attr_name is not null").distinct().orderBy("attr_name", "attr_type").limit(MAX_ATTRIBUTES + 1).collect()]
     if len(known) > MAX_ATTRIBUTES:
         raise ValueError(f"more than {MAX_ATTRIBUTES} attributes")
@@ -118,6 +111,19 @@ def widen(cells: DataFrame, attributes: DataFrame, batch_entities: int = BATCH_E
         if name in kinds:
             raise ValueError(f"attribute {name} has two types")
         kinds[name] = kind
+    return kinds
+
+
+def widen(cells: DataFrame, attributes: DataFrame, batch_entities: int = BATCH_ENTITIES) -> DataFrame:
+    """One row per ``seq_id`` that has a known attribute, one typed column per attribute of ``attributes``.
+
+    ``cells``: ``(cell_no, seq_id, attr_name, attr_value, entered_at)``; further columns are ignored. ``attributes``:
+    ``(spelling, attr_name, attr_type)``, at most ``MAX_ATTRIBUTES`` rows (a dimension; checked, as it is broadcast and
+    gives the result's schema). Blank or unreadable last values leave the cell null; an entity whose cells are all
+    empty keeps its row of nulls. Empty tables give an empty result with the full schema. An attribute named
+    ``seq_id`` becomes ``attr_seq_id``; attributes equal but for case are told apart by a number.
+    """
+    kinds = attribute_kinds(attributes)
     names, taken, columns = list(kinds), {"seq_id"}, []
     for name in names:
         column, k = (f"attr_{name}" if name.lower() == "seq_id" else name), 1
@@ -146,10 +152,12 @@ def widen(cells: DataFrame, attributes: DataFrame, batch_entities: int = BATCH_E
     def build(ids: list[str], rows: list[np.ndarray], cols: list[np.ndarray], values: dict[str, list[pa.Array]]) -> pa.RecordBatch:
         """One batch of entities: scatter the cells of each column into its buffer and mask."""
         row, col = np.concatenate(rows), np.concatenate(cols)
+        by_col = np.argsort(col, kind="stable")
+        ends = np.searchsorted(col[by_col], np.arange(len(plan) + 1))
         whole = {k: pa.concat_arrays(v) for k, v in values.items()}
         arrays: list[pa.Array] = [pa.array(ids, pa.string())]
         for c, (_, arrow, source, kind) in enumerate(plan):
-            at = np.flatnonzero(col == c)
+            at = by_col[ends[c] : ends[c + 1]]
             cell = whole[source].take(pa.array(at))
             filled = ~np.asarray(cell.is_null())
             missing = np.ones(len(ids), bool)
@@ -201,9 +209,12 @@ def widen(cells: DataFrame, attributes: DataFrame, batch_entities: int = BATCH_E
 
 
 def filled_cells(wide: DataFrame, attributes: DataFrame) -> DataFrame:
-    """``(seq_id, attr_name, cell_value)`` of each filled cell: plain digits, two decimals, ISO dates, true/false, text."""
+    """``(seq_id, attr_name, cell_value)`` of each filled cell: plain digits, two decimals, ISO dates, true/false, text.
+
+    ``wide`` is ``widen``'s result for these ``attributes``; a column that had to be renamed comes out by its attribute's name.
+    """
     parts = []
-    for field in wide.schema.fields[1:]:
+    for name, field in zip(attribute_kinds(attributes), wide.schema.fields[1:]):
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
             shown = F.round(col.cast("decimal(38,12)"), 2).cast("decimal(38,2)").cast("string")
@@ -211,7 +222,7 @@ def filled_cells(wide: DataFrame, attributes: DataFrame) -> DataFrame:
             shown = F.date_format(col, "yyyy-MM-dd")
         else:
             shown = col.cast("string")
-        parts.append(F.struct(F.lit(field.name).alias("attr_name"), shown.alias("cell_value")))
+        parts.append(F.struct(F.lit(name).alias("attr_name"), shown.alias("cell_value")))
     if not parts:
         return wide.select("seq_id", F.lit("").alias("attr_name"), F.lit("").alias("cell_value")).limit(0)
     return wide.select("seq_id", F.explode(F.array(*parts)).alias("c")).select("seq_id", "c.attr_name", "c.cell_value").filter("cell_value is not null")

@@ -212,9 +212,13 @@ def wibs_pairs(spark, folder):
     return _rounded(distance.wibs_pairs(_calls(spark, folder)), "d")
 
 
-def snp_wibs_pairs(spark, folder):
+def _snp(spark, folder, every):
     seqs = _haps(spark, folder).select(clean_id("marker").alias("marker"), "sequence").filter("sequence <> ''").groupBy("marker").agg(F.max_by("sequence", F.length("sequence")).alias("sequence"))
-    return _rounded(distance.snp_pairs(_calls(spark, folder), seqs), "d")
+    return _rounded(distance.snp_pairs(_calls(spark, folder), seqs, every=every), "d")
+
+
+def snp_wibs_pairs(spark, folder):
+    return _snp(spark, folder, False)
 
 
 def barratt_pairs(spark, folder):
@@ -245,7 +249,7 @@ def plucinski_matrix(spark, folder):
 
 def snp_wibs_matrix(spark, folder):
     """As ``snp_wibs_pairs``, with the pairs without a common locus at 1."""
-    return distance.with_incomparable(snp_wibs_pairs(spark, folder), sheet.complete_calls(_calls(spark, folder)).select("seq_id"), 1.0)
+    return _snp(spark, folder, True)
 
 
 def rank_ensemble_matrix(spark, folder):
@@ -286,13 +290,12 @@ def contig_match(spark, folder):
 
 
 def hinted_identity(spark, folder):
-    """Each distinct contig against the first haplotype of its hinted locus."""
+    """Each distinct contig against every haplotype of its hinted locus."""
     contigs = _contigs(spark, folder).select("locus_hint", "sequence").distinct()
     refs = _haps(spark, folder).filter("sequence <> ''").select(F.upper(names.parse_locus(F.col("marker"))).alias("locus_hint"), "rec_no", F.col("sequence").alias("ref"))
-    refs = refs.groupBy("locus_hint").agg(F.min_by("ref", "rec_no").alias("ref"))
     a, b = F.col("sequence"), F.col("ref")
     return contigs.join(refs, "locus_hint").select(
-        "locus_hint", "sequence", F.round(sequences.hamming(a, b), 6).alias("distance"), F.round(sequences.prefix_identity(a, b), 6).alias("approx"),
+        "locus_hint", "sequence", "rec_no", F.round(sequences.hamming(a, b), 6).alias("distance"), F.round(sequences.prefix_identity(a, b), 6).alias("approx"),
         F.round(sequences.coverage(a, b), 6).alias("coverage"), F.round(sequences.identity(a, b), 6).alias("identity"), sequences.contains_either(a, b).alias("contained"),
     )
 
@@ -315,13 +318,19 @@ def junction_trim(spark, folder):
     return _reads(spark, folder).select("rec_no", sequences.is_junction_read(s).alias("junction"), sequences.trim_junction(s).alias("trimmed"))
 
 
+def junctions(spark, folder):
+    """The junction of each specimen whose contigs hold one."""
+    return typing.junctions(_reads(spark, folder))
+
+
 def longest_contig(spark, folder):
-    own = _reads(spark, folder).filter("locus_hint <> ''")
+    own = _reads(spark, folder).withColumn("locus_hint", F.coalesce("locus_hint", F.lit("")))
     return own.groupBy("sample_id", "locus_hint").agg(F.max_by("sequence", F.struct(F.length("sequence"), -F.col("rec_no"))).alias("sequence"))
 
 
 def consensus(spark, folder):
-    return typing.consensus(_reads(spark, folder).filter("locus_hint <> ''"), "locus_hint")
+    """Of the contigs of each hint, and of those without one."""
+    return typing.consensus(_reads(spark, folder).withColumn("locus_hint", F.coalesce("locus_hint", F.lit(""))), "locus_hint")
 
 
 def gold_threshold_mad(spark, folder):
@@ -369,10 +378,31 @@ def micro_clusters(spark, folder):
     return hierarchy.micro_clusters(_dist(spark, folder), threshold=0.08)
 
 
-def ward_tree(spark, folder):
+def _tree(spark, folder):
     cut = Cut(spark)
-    tree, _ = hierarchy.ward_tree(cut.write(distance.wibs_pairs(_calls(spark, folder))), cut)
-    return _rounded(tree, "height")
+    return hierarchy.ward_tree(distance.wibs_pairs(_calls(spark, folder)), cut)[0]
+
+
+def ward_inertia(spark, folder):
+    """Merges of the tree and the sum of their squared heights, which is 2/n of the squared distances, whatever the ties."""
+    return _tree(spark, folder).agg(F.count("*").alias("n_merges"), F.round(F.sum(F.col("height") * F.col("height")), 4).alias("sum_h2"), F.max("size").alias("largest"))
+
+
+def height_gaps(spark, folder):
+    return _rounded(hierarchy.height_gaps(_tree(spark, folder)), "gap", "relative", "threshold")
+
+
+def within_by_k(spark, folder):
+    """The share of same-cluster pairs within 0.2 for each number of clusters."""
+    cut = Cut(spark)
+    pairs = cut.write(distance.wibs_pairs(_calls(spark, folder)))
+    _, cophenetic = hierarchy.ward_tree(pairs, cut, with_cophenetic=True)
+    n = pairs.select("i").union(pairs.select("j")).distinct().count()
+    return _rounded(hierarchy.within_by_k(pairs, cophenetic, n, 0.2), "within_pct")
+
+
+def ward_tree(spark, folder):
+    return _rounded(_tree(spark, folder), "height")
 
 
 def cophenetic_correlation(spark, folder):
@@ -401,15 +431,14 @@ QUERIES = {
         presence_cells, completeness, complete_specimens, marker_dimension, locus_called, allele_frequency, allele_share, locus_entropy, snp_weight, haplotype_rank,
         haplotype_rank_all, denovo_calls_all, denovo_calls, contig_match, hinted_identity, read_filter, read_support, junction_trim, longest_contig, consensus, gold_threshold_mad, gold_threshold_sd,
         distance_auc, within_percent, cluster_sizes, adjusted_rand, cluster_relabel, excluded_specimens, id_collision, metric_correlation, micro_clusters,
-        ward_tree, cophenetic_correlation, knee_clusters, supervised_clusters,
+        junctions, ward_inertia, height_gaps, within_by_k, ward_tree, cophenetic_correlation, knee_clusters, supervised_clusters,
     )
 }
 
-_HAM = "len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: {a}[k] <> {b}[k]))"
-
-
 def _mism(a: str, b: str) -> str:
-    return _HAM.format(a=a, b=b)
+    """Differing places on the common prefix."""
+    n = f"least(length({a}), length({b}))"
+    return f"hamming(substr({a}, 1, {n}), substr({b}, 1, {n}))"
 
 
 _HAP_RANK = CONTIGS + """,
@@ -464,9 +493,9 @@ ORACLE = {
     "haplotype_rank": f"with {_HAP_RANK} select locus, sequence, n, cast(length(sequence) as integer) as len, cast(rank as integer) as rank, marker from named",
     "denovo_calls": f"with {_HAP_RANK} select distinct c.seq_id, c.locus_hint as locus, marker from contigs_v c join named n on n.locus = c.locus_hint and n.sequence = c.sequence",
     "hinted_identity": f"""with {CONTIGS},{HAPS}, p as (select rec_no, sequence, regexp_replace(regexp_replace({_PARSED.format('marker')}, '_L[0-9]+bp$', ''), '_+$', '') as l from haps_v where sequence <> ''),
-      q as (select upper(case when contains(l, 'Junction') or (contains(l, 'Mt_') and contains(l, 'Cmt')) then 'Mt_Cmt' else l end) as locus_hint, arg_min(sequence, rec_no) as r from p group by 1),
-      x as (select distinct c.locus_hint, sequence as s, r from contigs_v c join q using (locus_hint)), y as (select *, {_mism('s', 'r')} as mm, least(length(s), length(r)) as lo, greatest(length(s), length(r)) as hi from x)
-      select locus_hint, s as sequence, round((mm + hi - lo) / hi, 6) as distance, round(case when lo / hi < 0.6 then 0 else (lo - mm) / hi end, 6) as approx, round(100 * lo / hi, 6) as coverage,
+      q as (select upper(case when contains(l, 'Junction') or (contains(l, 'Mt_') and contains(l, 'Cmt')) then 'Mt_Cmt' else l end) as locus_hint, sequence as r, rec_no from p),
+      x as (select distinct c.locus_hint, c.sequence as s, r, rec_no from contigs_v c join q using (locus_hint)), y as (select *, {_mism('s', 'r')} as mm, least(length(s), length(r)) as lo, greatest(length(s), length(r)) as hi from x)
+      select locus_hint, s as sequence, rec_no, round((mm + hi - lo) / hi, 6) as distance, round(case when lo / hi < 0.6 then 0 else (lo - mm) / hi end, 6) as approx, round(100 * lo / hi, 6) as coverage,
              round(100 * (lo - mm) / lo, 6) as identity, contains(s, r) or contains(r, s) as contained from y""",
     "read_filter": f"""with {CONTIGS}, q as (select ord as rec_no, length(sequence) as n, (10 * (length(sequence) - length(replace(sequence, 'A', ''))) + 20 * (length(sequence) - length(replace(sequence, 'C', '')))
       + 30 * (length(sequence) - length(replace(sequence, 'G', ''))) + 40 * (length(sequence) - length(replace(sequence, 'T', '')))) / length(sequence) as quality from contigs_v)
@@ -477,7 +506,7 @@ ORACLE = {
       b as (select ord, s, case when f > 0 then substr(s, f + 11) else s end as t from a)
       select ord as rec_no, regexp_matches(s, '(?i)(CCATCTACAGC.*AACAC|GTGTT.*GCTGTAGATGG)') as junction,
              case when instr(reverse(t), 'CACAA') > 0 then substr(t, 1, length(t) - instr(reverse(t), 'CACAA') - 4) else t end as trimmed from b""",
-    "longest_contig": f"with {CONTIGS} select seq_id as sample_id, locus_hint, sequence from (select *, row_number() over (partition by seq_id, locus_hint order by length(sequence) desc, ord) as rn from contigs_v where locus_hint <> '') where rn = 1",
+    "longest_contig": f"with {CONTIGS} select seq_id as sample_id, locus_hint, sequence from (select *, row_number() over (partition by seq_id, locus_hint order by length(sequence) desc, ord) as rn from (select * replace (coalesce(locus_hint, '') as locus_hint) from contigs_v)) where rn = 1",
     "gold_threshold_mad": f"with {GOLD_PAIRS}, w as (select d from gp where li = lj), m as (select median(d) as m from w) select round(coalesce((select m from m) + 3 * 1.4826 * median(abs(d - (select m from m))), 0.05), 6) as threshold, count(*) as n_pairs from w",
     "gold_threshold_sd": f"with {GOLD_PAIRS} select round(coalesce(avg(d) + 3 * coalesce(stddev_samp(d), 0), 0.05), 6) as threshold, count(*) as n_pairs from gp where li = lj",
     "distance_auc": f"""with {GOLD_PAIRS}, r as (select li = lj as same, rank() over (order by round(d, 12)) + (count(*) over (partition by round(d, 12)) - 1) / 2 as r from gp),
@@ -512,3 +541,35 @@ ORACLE |= {
       rb as (select i, j, (rank() over (order by d) + (count(*) over (partition by d) - 1) / 2) / count(*) over () as f from plucinski_all)
       select i, j, round((ra.f + rb.f) / 2, 6) as d from ra join rb using (i, j)""",
 }
+
+_MATCH = f"""{CONTIGS},{HAPS},
+s as (select distinct sequence as s from contigs_v),
+near as (select s, rec_no, marker, sequence as r, 100.0::double * least(length(s), length(sequence)) / greatest(length(s), length(sequence)) as cov from s, haps_v where sequence <> ''),
+scored as (select s, rec_no, marker, cov, contains(s, r) or contains(r, s) as exact, 100.0::double * (least(length(s), length(r)) - {_mism('s', 'r')}) / least(length(s), length(r)) as ident from near where cov >= 85),
+ordered as (select *, row_number() over (partition by s order by not exact, case when exact then 0 else -ident end, rec_no) as rn from scored),
+best as (select s, marker, cov, case when exact then 100.0 else ident end as ident from ordered where rn = 1),
+named as (
+  select s.s, case when ident >= 99 then marker
+    when ident > 0 then case when contains(marker, '_Hap_') then string_split(marker, '_Hap_')[1] when contains(marker, 'Junction') then 'Mt_Cmt' else marker end || '_NOVEL_' || upper(substr(md5(s.s), 1, 6))
+    else 'Novel_Marker_' || upper(substr(md5(s.s), 1, 6)) end as marker, ident, cov
+  from s left join best on best.s = s.s)"""
+
+ORACLE |= {
+    "contig_match": f"with {_MATCH} select ord, marker, round(ident, 6) as identity_pct, round(cov, 6) as coverage_pct from contigs_v c join named n on n.s = c.sequence",
+    "consensus": f"""with {CONTIGS}, r as (select coalesce(locus_hint, '') as locus_hint, ord, sequence from contigs_v),
+      m as (select locus_hint, floor(median(length(sequence))) as mid, count(*) as n_reads from r group by 1),
+      b as (select locus_hint, n_reads, length(sequence) as len from (select r.*, n_reads, row_number() over (partition by locus_hint order by abs(length(sequence) - mid), ord) as rn from r join m using (locus_hint)) where rn = 1),
+      l as (select locus_hint, ord, pos, sequence[cast(pos as bigint)] as base from (select locus_hint, ord, sequence, unnest(range(1, length(sequence) + 1)) as pos from r)),
+      v as (select locus_hint, pos, base, count(*) as n, min(ord) as first_ord from l group by 1, 2, 3),
+      w as (select *, row_number() over (partition by locus_hint, pos order by n desc, first_ord) as rn from v)
+      select locus_hint, string_agg(base, '' order by pos) as consensus, max(n_reads) as n_reads from w join b using (locus_hint) where rn = 1 and pos <= len group by 1""",
+    "junctions": f"""with {CONTIGS}, a as (select seq_id, ord, sequence as s from contigs_v where regexp_matches(sequence, '(CCATCTACAGC.*AACAC|GTGTT.*GCTGTAGATGG)')),
+      b as (select seq_id, ord, case when instr(s, 'CCATCTACAGC') > 0 then substr(s, instr(s, 'CCATCTACAGC') + 11) else s end as t from a),
+      c as (select seq_id, ord, case when instr(reverse(t), 'CACAA') > 0 then substr(t, 1, length(t) - instr(reverse(t), 'CACAA') - 4) else t end as t from b),
+      d as (select seq_id, t as s from (select *, row_number() over (partition by seq_id order by length(t) desc, ord) as rn from c where length(t) > 20) where rn = 1),
+      e as (select seq_id, case when instr(s, 'CCATCTACAGC') > 0 then substr(s, instr(s, 'CCATCTACAGC') + 11) else s end as t from d),
+      f as (select seq_id, case when instr(reverse(t), 'CACAA') > 0 then substr(t, 1, length(t) - instr(reverse(t), 'CACAA') - 4) else t end as t from e)
+      select seq_id as sample_id, 'Mt_Cmt' || (length(t) + 43) || '.X_Junction_Hap_' || seq_id as marker, t as sequence from f where t <> ''""",
+    "ward_inertia": f"""with {WIBS}, n as (select count(*) as n from complete)
+      select (select n - 1 from n) as n_merges, round(2 * sum(d * d) / (select n from n), 4) as sum_h2, (select n from n) as largest from wibs""",
+}

@@ -98,9 +98,16 @@ class Cut:
                 _delete(self.spark, path)
 
 
-def close_cuts() -> None:
-    """Delete the tables of all cuts: once the results that read them are written, or at the end."""
+def open_cuts() -> frozenset[str]:
+    """The folders of the cuts that are open."""
+    return frozenset(Cut._open)
+
+
+def close_cuts(keep: frozenset[str] = frozenset()) -> None:
+    """Delete the tables of all cuts but some: once the results that read them are written, or at the end."""
     for folder, spark in list(Cut._open.items()):
+        if folder in keep:
+            continue
         Cut._open.pop(folder)
         try:
             _delete(spark, folder)

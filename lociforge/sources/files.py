@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.names import norm_name
+from lociforge.operators.ordering import numbered
 
 FASTA_SUFFIX = r"(?i)\.(fasta|fa|fna)(\.gz)?$"
 SKIPPED_REFERENCES = ["Illumina", "MAPPING"]
@@ -37,15 +38,20 @@ def read_fasta(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     reader = spark.read.option("lineSep", "\n>")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^>", "").alias("v"))
-    raw = raw.withColumn("pos", F.monotonically_increasing_id())
+    return _fasta_records(reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def _fasta_records(parts: DataFrame) -> DataFrame:
+    """``(path, pos, header, sequence)`` of ``(path, value)``, the text of one record each."""
+    raw = parts.select("path", F.regexp_replace("value", r"^>", "").alias("v")).withColumn("pos", F.monotonically_increasing_id())
     lines = F.split(F.regexp_replace("v", "\r", ""), "\n")
     return raw.select("path", "pos", F.btrim(F.get(lines, F.lit(0))).alias("header"), F.upper(F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.btrim(x)), "")).alias("sequence")).filter("header <> ''")
 
 
-def sequence_map(records: DataFrame) -> DataFrame:
-    """``(seq_name, sequence)``: the first word of each header; of repeated names the last record counts."""
-    return records.withColumn("seq_name", F.get(F.split("header", r"\s+"), F.lit(0))).groupBy("seq_name").agg(F.max_by("sequence", "pos").alias("sequence"))
+def sequence_map(records: DataFrame, whole_header: bool = False) -> DataFrame:
+    """``(seq_name, sequence)``: the first word of each header, or all of it; of repeated names the last record counts."""
+    name = F.col("header") if whole_header else F.get(F.split("header", r"\s+"), F.lit(0))
+    return records.withColumn("seq_name", name).groupBy("seq_name").agg(F.max_by("sequence", "pos").alias("sequence"))
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
@@ -54,16 +60,29 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     for word in SKIPPED_REFERENCES:
         own = own.filter(~F.col("path").contains(word))
     named = own.withColumn("marker", norm_name(F.get(F.split("header", r"\s+"), F.lit(0)))).filter("sequence <> ''")
-    return named.groupBy("marker").agg(F.min(F.struct("path", "pos")).alias("_at"), F.max_by("sequence", F.struct("path", "pos")).alias("sequence")).select(F.row_number().over(Window.orderBy("_at")).cast("long").alias("ref_ord"), "marker", "sequence")
+    panel = named.groupBy("marker").agg(F.min(F.struct("path", "pos")).alias("_at"), F.max_by("sequence", F.struct("path", "pos")).alias("sequence"))
+    return numbered(panel, ["_at"], "ref_ord", start=1).select("ref_ord", "marker", "sequence")
+
+
+def read_marker_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """``(marker, sequence)`` for the sequence metric: the normalised whole header of each record names its marker."""
+    own = read_fasta(spark, path, recursive=True)
+    for word in SKIPPED_REFERENCES:
+        own = own.filter(~F.col("path").contains(word))
+    return sequence_map(own.filter("sequence <> ''").withColumn("header", norm_name(F.col("header"))), whole_header=True).withColumnRenamed("seq_name", "marker")
 
 
 def read_contigs(spark: SparkSession, path: str, min_letters: int = 20) -> DataFrame:
     """``(seq_id, locus_hint, sequence, ord)`` from assembled contigs.
 
     ``sample|locus`` headers name both; ``a_b_contigN`` and ``…hap…`` headers name the sample before the last ``_``;
-    others, and those that begin with ``read``, belong to the file's stem. Raises if no record is found.
+    others, and those that begin with ``read``, belong to the file's stem. FASTA members of zip files count as files.
+    Raises if no record is found.
     """
     own = read_fasta(spark, path, recursive=True).filter(F.col("path").rlike(FASTA_SUFFIX))
+    zipped = read_archived(spark, path).filter(F.col("content").rlike(r"(?m)^>")).select(F.concat_ws("/", "archive", "member").alias("path"), F.explode(F.split("content", r"\r?\n(?=>)")).alias("value"))
+    # numbered apart, so that no two records have one number
+    own = own.unionByName(_fasta_records(zipped.filter(F.col("value").startswith(">"))).withColumn("pos", -1 - F.col("pos")))
     parts, tokens = F.split("header", r"\|"), F.split("header", "_")
     piped = F.size(parts) > 1
     last = F.lower(F.element_at(tokens, -1))
@@ -121,6 +140,12 @@ def read_call_lists(spark: SparkSession, path: str, background: str | None = Non
     return own.select("seq_id"), calls
 
 
+def holds_fasta(spark: SparkSession, path: str) -> bool:
+    """Whether there is a FASTA file, plain or in a zip, at or under the path: then its files are contigs, not call lists."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").filter(F.col("path").rlike(FASTA_SUFFIX))
+    return not names.isEmpty() or not read_archived(spark, path).filter(F.col("member").rlike(FASTA_SUFFIX)).isEmpty()
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
@@ -134,10 +159,10 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """``(seq_id, cluster_alias)``: the first two columns, parted by any white space; the first line is a header."""
-    own = spark.read.text(path).select(F.split(F.btrim("value"), r"\s+").alias("f"), (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_n"))
-    head = own.filter("_first").agg(F.min("_n").alias("_h"))
-    return own.join(F.broadcast(head)).filter("_n <> _h and size(f) > 1").select(F.get("f", F.lit(0)).alias("seq_id"), F.get("f", F.lit(1)).alias("cluster_alias"))
+    """``(seq_id, cluster_alias)``: the first two columns, parted by any white space; the first line of each file is a header."""
+    own = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.btrim("value"), r"\s+").alias("f"), (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_n"))
+    head = own.filter("_first").groupBy("path").agg(F.min("_n").alias("_h"))
+    return own.join(head, "path").filter("_n <> _h and size(f) > 1").select(F.get("f", F.lit(0)).alias("seq_id"), F.get("f", F.lit(1)).alias("cluster_alias"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,8 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
-def write_sheet(calls: DataFrame, path: str, specimens: DataFrame | None = None) -> None:
-    write_table(presence_sheet(calls, specimens=specimens), path, single=True)
+def write_sheet(calls: DataFrame, path: str, specimens: DataFrame | None = None, single: bool = False) -> None:
+    write_table(presence_sheet(calls, specimens=specimens), path, single=single)
 
 
 def write_fasta(records: DataFrame, path: str, name: str = "marker") -> None:
@@ -27,15 +27,15 @@ def write_fastq(reads: DataFrame, path: str) -> None:
     reads.select(F.concat(F.lit("@"), F.col("header"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), F.col("qual"))).write.mode("overwrite").text(path)
 
 
-def write_matrix(pairs: DataFrame, path: str) -> None:
+def write_matrix(pairs: DataFrame, path: str, single: bool = False) -> None:
     """The square matrix with row names; only up to ``MAX_MATRIX`` ids, as it has a column for each."""
     both = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     ids = [r[0] for r in both.select("i").distinct().orderBy("i").limit(MAX_MATRIX + 1).collect()]
     if len(ids) > MAX_MATRIX:
         raise ValueError(f"more than {MAX_MATRIX} ids; keep the matrix in long form")
-    write_table(both.groupBy("i").pivot("j", ids).agg(F.first("d")).na.fill(0.0).orderBy("i"), path, sep=",", single=True)
+    write_table(both.groupBy("i").pivot("j", ids).agg(F.first("d")).na.fill(0.0).orderBy("i"), path, sep=",", single=single)
 
 
-def write_clusters(labels: DataFrame, path: str) -> None:
+def write_clusters(labels: DataFrame, path: str, single: bool = False) -> None:
     """``Seq_ID`` and ``Assigned_cluster``."""
-    write_table(labels.select(F.col("seq_id").alias("Seq_ID"), F.col("label").alias("Assigned_cluster")).orderBy("Seq_ID"), path, single=True)
+    write_table(labels.select(F.col("seq_id").alias("Seq_ID"), F.col("label").alias("Assigned_cluster")).orderBy("Seq_ID"), path, single=single)

@@ -14,15 +14,13 @@ WATERMARK = "7 days"
 
 
 def stream_call_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """``(seq_id, marker)`` of the call files that appear in a folder."""
-    lines = spark.readStream.text(folder).select(_stem(F.col("_metadata.file_path")).alias("seq_id"), F.btrim(F.get(F.split("value", "\t"), F.lit(0))).alias("marker"))
+    """``(seq_id, marker, arrived)`` of the call files that appear in a folder, ``arrived`` being the file's time."""
+    lines = spark.readStream.text(folder).select(F.col("_metadata.file_modification_time").alias("arrived"), _stem(F.col("_metadata.file_path")).alias("seq_id"), F.btrim(F.get(F.split("value", "\t"), F.lit(0))).alias("marker"))
     return lines.filter("marker <> ''")
 
 
-def distinct_calls(calls: DataFrame, time: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Each call once; with an event time the state of calls older than the watermark is dropped."""
-    if time is None:
-        return calls.dropDuplicates(["seq_id", "marker"])
+def distinct_calls(calls: DataFrame, time: str = "arrived", watermark: str = WATERMARK) -> DataFrame:
+    """Each call once within the watermark; the state of calls older than that is dropped, so it doesn't grow for ever."""
     return calls.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["seq_id", "marker"])
 
 

@@ -1,9 +1,11 @@
 import gzip
+import os
 import zipfile
 
 import pytest
 
 from lociforge import cli
+from lociforge.session import close_cuts, shared_folder
 from lociforge.sources import files, sinks
 from lociforge.streaming import ingest
 
@@ -20,6 +22,18 @@ def test_fasta_and_contigs(spark, tmp_path):
     assert [tuple(r) for r in files.read_references(spark, str(tmp_path / "r.fasta")).collect()] == [(1, "L1_H1", "GGGG")]
     with pytest.raises(Exception):
         files.read_contigs(spark, str(tmp_path / "missing")).count()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/P7.fasta", ">P1|L1\r\nACGTACGTAC\r\nGTACGTACGTAC\r\n>plain\n" + "T" * 22 + "\n")
+        z.writestr("__MACOSX/x.fasta", ">no|L1\n" + "T" * 30 + "\n")
+        z.writestr("in/.dot.fasta", ">no|L1\n" + "T" * 30 + "\n")
+    for place in (tmp_path / "z.zip", tmp_path):
+        zipped = files.read_contigs(spark, str(place))
+        rows = {(r["seq_id"], r["locus_hint"], r["sequence"]) for r in zipped.collect()}
+        assert rows >= {("P1", "L1", "ACGTACGTACGTACGTACGTAC"), ("P7", None, "T" * 22)} and not any(r[0] == "no" for r in rows)
+        assert zipped.select("ord").distinct().count() == zipped.count()
+    assert files.holds_fasta(spark, str(tmp_path / "z.zip")) and files.holds_fasta(spark, str(folder))
+    (tmp_path / "q.fasta").write_text(">a.L1-H1 note\nACGT\nAC\n>a.L1-H1 note\nGGGG\n")
+    assert [tuple(r) for r in files.read_marker_sequences(spark, str(tmp_path / "q.fasta")).collect()] == [("L1_H1 note", "GGGG")]
 
 
 def test_call_lists(spark, tmp_path):
@@ -33,6 +47,7 @@ def test_call_lists(spark, tmp_path):
     specimens, calls = files.read_call_lists(spark, str(folder))
     assert {r[0] for r in specimens.collect()} == {"A", "B", "C"}
     assert {tuple(r) for r in calls.collect()} == {("A", "L1_Hap_1"), ("A", "L2_Hap_1"), ("C", "L1_Hap_2")}
+    assert not files.holds_fasta(spark, str(folder))
     back = tmp_path / "back"
     back.mkdir()
     (back / "A.txt").write_text("q")
@@ -53,15 +68,24 @@ def test_matrix_gold_and_clusters(spark, tmp_path):
     assert {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m")).collect()} == {tuple(r) for r in pairs.collect()}
     (tmp_path / "gold.tsv").write_text("Seq_ID True_Cluster\nA\t1\nB   2\n")
     assert {tuple(r) for r in files.read_gold(spark, str(tmp_path / "gold.tsv")).collect()} == {("A", "1"), ("B", "2")}
+    golds = tmp_path / "golds"
+    golds.mkdir()
+    for name, row in (("x", "A 1"), ("y", "B 2")):
+        (golds / name).write_text(f"Seq_ID True_Cluster\n{row}\n")
+    assert {tuple(r) for r in files.read_gold(spark, str(golds)).collect()} == {("A", "1"), ("B", "2")}
 
 
 def test_run_all_and_reads(spark, tmp_path):
+    place = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    close_cuts()
+    before = set(os.listdir(place))
     rows = []
     for i in range(8):
         for locus in ("L1", "L2", "L3"):
             rows.append(f">S{i}|{locus}\n" + ("ACGGTCA" if i < 4 else "TTGACCA") * 5 + "A" * len(locus) + ("G" if locus == "L3" and i % 2 else ""))
     (tmp_path / "c.fasta").write_text("\n".join(rows) + "\n")
-    cli.main(["run-all", "--assembled", str(tmp_path / "c.fasta"), "--output", str(tmp_path / "out")])
+    cli.main(["run-all", "--assembled", str(tmp_path / "c.fasta"), "--metric", "wibs", "--output", str(tmp_path / "out")])
+    assert set(os.listdir(place)) <= before  # no table of a cut is left
     got = spark.read.csv(str(tmp_path / "out/clusters"), sep="\t", header=True).collect()
     assert len(got) == 8 and len({r["Assigned_cluster"] for r in got if r["Seq_ID"] < "S4"}) == 1
     assert len(files.read_sheet(spark, str(tmp_path / "out/sheet")).columns) > 4
@@ -70,6 +94,15 @@ def test_run_all_and_reads(spark, tmp_path):
     (tmp_path / "ref.fasta").write_text(f">L1_H01_TEST\n{read[:60]}\n")
     cli.main(["process-reads", "--reads", str(tmp_path / "s.fastq"), "--references", str(tmp_path / "ref.fasta"), "--output", str(tmp_path / "ont")])
     assert spark.read.csv(str(tmp_path / "ont"), sep="\t").first()[1] == "L1_H01_TEST"
+    middle = "GATTACA" * 5
+    (tmp_path / "j.fastq").write_text(f"@a\nTTCCATCTACAGC{middle}AACACTT\n+\n{'I' * 55}\n@b\nCCATCTACAGC{middle[:25]}AACAC\n+\n{'I' * 41}\n")
+    cli.main(["process-reads", "--reads", str(tmp_path / "j.fastq"), "--junctions", "--output", str(tmp_path / "jf")])
+    assert [(r["header"], r["sequence"]) for r in files.read_fasta(spark, str(tmp_path / "jf")).collect()] == [("Mt_Cmt78.X_Junction_Hap_j", middle)]
+    common = ["--min-completeness", "0", "--ploidy", "1"]
+    cli.main(["distances", "--sheet", str(tmp_path / "out/sheet"), "--epsilon", "0.2", "--single-file", *common, "--output", str(tmp_path / "d")])
+    assert files.read_matrix(spark, str(tmp_path / "d")).count() == 28
+    cli.main(["cluster", "--matrix", str(tmp_path / "d"), "--sheet", str(tmp_path / "out/sheet"), "--output", str(tmp_path / "c2")])
+    assert spark.read.csv(str(tmp_path / "c2"), sep="\t", header=True).count() == 8
 
 
 def test_run_all_reports_specimens_without_or_with_few_calls(spark, tmp_path):
@@ -79,7 +112,7 @@ def test_run_all_reports_specimens_without_or_with_few_calls(spark, tmp_path):
         (folder / f"S{i}.txt").write_text("".join(f"L{k}_Hap_{1 + (i > 2)}\n" for k in range(12)))
     (folder / "EMPTY.txt").write_text("")
     (folder / "FEW.txt").write_text("L1_Hap_1\n")
-    cli.main(["run-all", "--specimens", str(folder), "--output", str(tmp_path / "out")])
+    cli.main(["run-all", "--specimens", str(folder), "--preset", "ont-r10", "--output", str(tmp_path / "out")])
     got = {r["Seq_ID"]: r["Assigned_cluster"] for r in spark.read.csv(str(tmp_path / "out/clusters"), sep="\t", header=True).collect()}
     assert set(got) == {"S0", "S1", "S2", "S3", "S4", "EMPTY", "FEW"} and {s for s, c in got.items() if c == "-1"} == {"EMPTY", "FEW"}
     assert {r["Seq_ID"] for r in files.read_sheet(spark, str(tmp_path / "out/sheet")).collect()} == set(got)

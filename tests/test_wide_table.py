@@ -44,7 +44,7 @@ def test_last_row_counts_and_names_match(spark):
     got = {r["seq_id"]: r.asDict() for r in wide.collect()}
     assert set(got) == {"A_1", "C", "D"}
     assert got["A_1"]["host_age"] == 6 and got["C"]["ct"] is None and got["D"]["attr_seq_id"] == "own"
-    assert {tuple(r) for r in wide_table.filled_cells(wide, known).collect()} == {("A_1", "host_age", "6"), ("D", "attr_seq_id", "own")}
+    assert {tuple(r) for r in wide_table.filled_cells(wide, known).collect()} == {("A_1", "host_age", "6"), ("D", "seq_id", "own")}
 
 
 def test_entities_go_on_over_batches(spark):
