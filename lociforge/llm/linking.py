@@ -22,8 +22,13 @@ from lociforge.session import Cut
 PART = 512
 
 
-def parts_of(n: str) -> Column:
-    return F.ceil(F.col(n) / PART).cast("int")
+def parts_of(n: str, part: int = PART) -> Column:
+    return F.ceil(F.col(n) / part).cast("int")
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The rows by key in as many tasks as a shuffle has: for work that is heavier than its input is large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def pairs_within(own: DataFrame, key: list[str], node: str = "node", payload: str | None = None) -> DataFrame:
@@ -34,11 +39,16 @@ def pairs_within(own: DataFrame, key: list[str], node: str = "node", payload: st
     extra = lambda to: [F.col(payload).alias(to)] if payload else []
     left = own.select(*key, F.col(node).alias("a"), F.pmod(F.xxhash64(node), "_p").alias("_s"), *extra("_ta"))
     right = own.select(*key, F.col(node).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p").cast("long") - 1)).alias("_s"), *extra("_tb"))
+    if payload:
+        left, right = spread(left, *key, "_s"), spread(right, *key, "_s")
     return left.join(right, [*key, "_s"]).filter("a < b").drop("_s")
 
 
 def cross_pairs(placed: DataFrame, cut: Cut) -> DataFrame:
-    """``(a, b)``, distinct, of the records of different components that share a key; ``placed``: ``(key, node, comp)``."""
+    """``(a, b, n_keys)`` of the records of different components that share a key, with the number of keys they share.
+
+    ``placed``: ``(key, node, comp)``.
+    """
     sides = cut.write(placed.groupBy("key", "comp").agg(F.count("*").alias("n")))
     per_key = sides.groupBy("key").agg(F.count("*").alias("_c")).select("key", parts_of("_c").alias("_p"))
     meet = pairs_within(sides.select("key", "comp").join(per_key, "key"), ["key"], "comp").select("key", F.col("a").alias("ca"), F.col("b").alias("cb"))
@@ -47,14 +57,15 @@ def cross_pairs(placed: DataFrame, cut: Cut) -> DataFrame:
     for c, n in (("ca", "na"), ("cb", "nb")):
         meet = meet.join(parts.withColumnRenamed("comp", c), ["key", c]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p")
         meet = meet.join(own.withColumnRenamed("comp", c).withColumnRenamed("node", n), ["key", c, "_s"]).drop("_s")
-    return meet.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    return meet.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n_keys"))
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], cut: Cut) -> tuple[DataFrame, DataFrame]:
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], cut: Cut, screen: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(node, comp)`` of all records with a link, and the links ``(a, b, sim)`` that were found.
 
     ``buckets``: ``(key, node)``. ``verify`` gets distinct pairs ``(a, b)``, ``a < b``, and returns those that are
-    linked as ``(a, b, sim)``. The links connect every component but aren't all links inside it.
+    linked as ``(a, b, sim)``. ``screen`` may leave out pairs ``(a, b, n_keys)`` that share too few keys to be linked; keys
+    must not repeat for a node. The links connect every component but aren't all links inside it.
     """
     shared = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).filter("lead < _last").select("key", "lead")
     live = cut.write(buckets.join(shared, "key"))
@@ -68,7 +79,8 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     held = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
     placed = cut.write(placed.join(held, "key", "left_semi"))
     cut.drop(live)
-    second = cut.write(verify(cut.write(cross_pairs(placed, cut))))
+    pairs = cross_pairs(placed, cut)
+    second = cut.write(verify(cut.write((screen(pairs) if screen else pairs).select("a", "b"))))
     cut.drop(placed)
     links = first.unionByName(second)
     # components of components: the first ones are contracted, so only cross links and their stars go round

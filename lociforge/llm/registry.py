@@ -27,8 +27,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     cut = Cut(spark)
-    members, links = markov_clusters.alike_graph(markov_clusters.genotypes(table(spark, folder, "calls"), cut), cut)
-    _, described = markov_clusters.markov_clusters(members, links, cut)
+    _, described = markov_clusters.markov_clusters(markov_clusters.alike_graph(markov_clusters.genotypes(table(spark, folder, "calls"), cut), cut), cut)
     return described.select("first_seq_id", "n_members", F.array_join("typical", ",").alias("typical"))
 
 

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lociforge.llm import markov_clusters, near_duplicates
-from lociforge.operators.components import connected_components
 from lociforge.session import Cut
 
 
@@ -89,8 +90,11 @@ def test_clusters_against_brute_force(spark):
     want = {(g, s) for s, g in want.items() if s != g}
     assert {tuple(r) for r in markov_clusters.found(df).collect()} == want
     cut = Cut(spark)
-    members, links = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut)
-    _, described = markov_clusters.markov_clusters(members, links, cut)
+    graph = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut)
+    few = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut, wide_keys=100)  # many are wide
+    assert few.wide is not None and few.links(cut).count() == graph.links(cut).distinct().count()
+    assert {tuple(r) for r in markov_clusters.markov_clusters(few, cut)[0].filter("seq_id <> first_seq_id").select("first_seq_id", "seq_id").collect()} == want
+    _, described = markov_clusters.markov_clusters(graph, cut)
     rows = described.collect()
     assert sum(r["n_members"] - 1 for r in rows) == len(want) and all(1 <= len(r["typical"]) <= 3 for r in rows)
     assert markov_clusters.found(df.limit(0)).count() == 0
@@ -116,10 +120,13 @@ def test_combinations_guarantee_a_common_bucket():
 def test_flow_separates_weakly_joined_groups(spark):
     edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(5, 10, 0.1)]
     links = spark.createDataFrame(edges, "a long, b long, sim double")
-    flow, _ = markov_clusters.markov_flow(links, Cut(spark))
-    parts = connected_components(flow.select(flow["row"].alias("a"), flow["col"].alias("b")), Cut(spark))
-    home = {r["node"]: r["comp"] for r in parts.collect()}
-    assert len({home[x] for x in range(6)}) == 1 and home[0] != home[15] and len({home[x] for x in range(10, 16)}) == 1
+    for dense in (2048, 2):  # as a matrix in a task, and as joins
+        home = {r["node"]: r["cluster"] for r in markov_clusters.flow_clusters(links, Cut(spark), dense=dense).collect()}
+        assert home == {x: 0 for x in range(6)} | {x: 10 for x in range(10, 16)}
+        merged = markov_clusters.merged_clusters(markov_clusters.flow_clusters(links, Cut(spark), dense=dense), links, Cut(spark))
+        assert {(r["node"], r["merged"]) for r in merged.collect()} == {(x, 0) for x in home}
+    with pytest.raises(Exception, match="did not settle"):
+        markov_clusters.flow_clusters(links, Cut(spark), max_iterations=1).collect()
 
 
 def test_typical_against_brute_force_flow(spark):
@@ -133,26 +140,32 @@ def test_typical_against_brute_force_flow(spark):
     ids = sorted(specimens)
     link = lambda a, b: sum(bool(a[x] & b[x]) for x in loci) / len(loci) if alike(a, b) else 0.0
     v = np.array([[link(specimens[a], specimens[b]) if a != b else 0.0 for b in ids] for a in ids])
-    graph = v > 0
+    v0 = v > 0
     np.fill_diagonal(v, v.max(0))
     v, early = v / v.sum(0), None
     for _ in range(30):
         v = (v @ v) ** 2
         v /= v.sum(0)
         early = v.sum(1) if early is None else early
-    home = groups_of([(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and graph[i, j]], ids)
+    home = groups_of([(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and v0[i, j]], ids)
     limit, early = dict(zip(ids, v.sum(1).round(6))), dict(zip(ids, early.round(6)))
     want = {h: sorted((s for s in ids if home[s] == h), key=lambda s: (-limit[s], -early[s], s))[:3] for h in set(home.values())}
     df = spark.createDataFrame([(s, x, f"{x}_Hap_{h}") for s, g in specimens.items() for x, hs in g.items() for h in hs], "seq_id string, locus string, marker string")
     cut = Cut(spark)
-    members, links = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut)
-    at = {r["seq_id"]: r["node"] for r in members.collect()}
-    want_links = {tuple(sorted((at[a], at[b]))) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and graph[i, j] and at[a] != at[b]}
-    assert {(r["a"], r["b"]) for r in links.collect()} == want_links
-    _, described = markov_clusters.markov_clusters(members, links, cut)
+    graph = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut)
+    at = {r["seq_id"]: r["node"] for r in graph.members.collect()}
+    want_links = {tuple(sorted((at[a], at[b]))) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and v0[i, j] and at[a] != at[b]}
+    assert {(r["a"], r["b"]) for r in graph.links(cut).collect()} == want_links
+    _, described = markov_clusters.markov_clusters(graph, cut)
+    assert {r["first_seq_id"]: r["typical"] for r in described.collect()} == want
+    again = df.repartition(7, "locus")
+    _, described = markov_clusters.markov_clusters(markov_clusters.alike_graph(markov_clusters.genotypes(again, cut), cut), cut)
     assert {r["first_seq_id"]: r["typical"] for r in described.collect()} == want
     # the rounds of large components: the same links and, but for pruning, the same flow
-    _, large = markov_clusters.alike_graph(markov_clusters.genotypes(df, cut), cut, dense=2)
-    assert large.count() == len(want_links)
-    _, first = markov_clusters.markov_flow(links, cut, weights=members.groupBy("node").count().withColumnRenamed("count", "m"), dense=2, prune=0.0, max_iterations=1)
+    links = graph.links(cut, dense=2)
+    assert links.count() == len(want_links)
+    first = markov_clusters.flow_clusters(links, cut, weights=graph.members.groupBy("node").count().withColumnRenamed("count", "m"), dense=2, prune=0.0)
     assert all(abs(early[s] - r) < 1e-5 for r, s in ((r["inflow"], s) for r in first.collect() for s in ids if at[s] == r["node"]))
+    large, _ = markov_clusters.markov_clusters(graph, cut, dense=2)
+    small, _ = markov_clusters.markov_clusters(graph, cut)
+    assert {tuple(r) for r in large.collect()} == {tuple(r) for r in small.collect()}
