@@ -6,7 +6,7 @@ numbers run on inside each range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociforge.session import Cut
@@ -21,16 +21,21 @@ def _before(ranged: DataFrame, weight) -> DataFrame:
     """``(_p, _before, _all)``: the weight of all ranges before each and of all; a row for each range."""
     sums = ranged.groupBy("_p").agg(F.sum(weight).alias("_w"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("_p", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"), F.sum("_w").over(Window.partitionBy()).alias("_all"))
+    return sums.select("_p", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_in_ranges_before"), F.sum("_w").over(Window.partitionBy()).alias("_all"))
+
+
+def running(df: DataFrame, order: list, weight: Column, name: str, cut: Cut | None = None) -> DataFrame:
+    """``df`` with a ``name`` column: the sum of a whole-number ``weight`` over all rows before it in the order."""
+    cut = cut or Cut(df.sparkSession)
+    ranged = _ranged(df.withColumn("_w", weight.cast("long")), order, cut)
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.withColumn(name, F.coalesce(F.sum("_w").over(inside), F.lit(0))).join(F.broadcast(_before(ranged, F.col("_w"))), "_p")
+    return joined.select(*df.columns, (F.col(name) + F.col("_in_ranges_before")).cast("long").alias(name))
 
 
 def numbered(df: DataFrame, order: list, name: str, cut: Cut | None = None, start: int = 0) -> DataFrame:
     """``df`` with a ``name`` column: the place of each row in the order, from ``start`` on."""
-    cut = cut or Cut(df.sparkSession)
-    ranged = _ranged(df, order, cut)
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + start
-    joined = ranged.withColumn(name, place).join(F.broadcast(_before(ranged, F.lit(1))), "_p")
-    return joined.select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
+    return running(df, order, F.lit(1), name, cut).withColumn(name, F.col(name) + start)
 
 
 def value_counts(df: DataFrame, col: str, cut: Cut | None = None) -> DataFrame:
@@ -39,7 +44,7 @@ def value_counts(df: DataFrame, col: str, cut: Cut | None = None) -> DataFrame:
     ranged = _ranged(df.groupBy(col).agg(F.count("*").alias("n")), [col], cut)
     inside = Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(_before(ranged, F.col("n"))), "_p")
-    return joined.select(col, "n", (F.col("_in") + F.col("_before")).alias("below"), F.col("_all").alias("total"))
+    return joined.select(col, "n", (F.col("_in") + F.col("_in_ranges_before")).alias("below"), F.col("_all").alias("total"))
 
 
 def exact_median(df: DataFrame, col: str, cut: Cut | None = None) -> float | None:
