@@ -29,7 +29,7 @@ BANDS = 64
 ROWS = 4
 EMPTY = np.uint32(0xFFFFFFFF)
 SLICE = 300_000
-PAIRS_AT_ONCE = 4000
+PAIR_BYTES = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -179,8 +179,7 @@ def verified(pairs: DataFrame, records: DataFrame, threshold: float = THRESHOLD,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (2 * k), bool)
         for whole in batches:
-            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
-                batch = whole.slice(at, PAIRS_AT_ONCE)
+            for batch in slices(iter([whole]), ("la", "lb"), PAIR_BYTES):
                 a = batch.column("a").to_numpy()
                 if (a[1:] < a[:-1]).any():
                     batch = batch.take(pa.array(np.argsort(a, kind="stable")))

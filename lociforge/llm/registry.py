@@ -25,10 +25,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return markov_clusters.found(table(spark, folder, "calls"))
 
 
-def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+def _described(spark: SparkSession, folder: str) -> DataFrame:
     cut = Cut(spark)
-    _, described = markov_clusters.markov_clusters(markov_clusters.alike_graph(markov_clusters.genotypes(table(spark, folder, "calls"), cut), cut), cut)
-    return described.select("first_seq_id", "n_members", F.array_join("typical", ",").alias("typical"))
+    return markov_clusters.markov_clusters(markov_clusters.alike_graph(markov_clusters.genotypes(table(spark, folder, "calls"), cut), cut), cut)[1]
+
+
+def p1_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p1_clusters``, without the typical members, which SQL can't tell."""
+    return _described(spark, folder).select("first_seq_id", "n_members")
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _described(spark, folder).select("first_seq_id", "n_members", F.array_join("typical", ",").alias("typical"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +52,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, folder), table(spark, folder, "containers"))
 
 
+def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packing; only the number of texts isn't 0."""
+    return packing.faults(p6_pack(spark, folder), table(spark, folder, "containers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "test_items"))
 
@@ -53,14 +66,15 @@ def _subjects(spark: SparkSession, folder: str, min_share: float, misses: bool =
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _subjects(spark, folder, subjects.MIN_SHARE).select("doc_id", "subject").distinct()
+    return subjects.likely(_subjects(spark, folder, 0)).select("doc_id", "subject").distinct()
 
 
 def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.composition(_subjects(spark, folder, 0, misses=True))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p1_sizes, p3_found, p5_found, p6_pack, p6_fill, p6_faults, p7_found, p8_found, p8_composition)}
+
 _P1 = f"""with recursive {CALLS},
 able as (select seq_id from calls_v group by 1 having count(distinct locus) >= 16),
 per_locus as (select seq_id, locus, list(distinct marker) as v from calls_v where seq_id in (select seq_id from able) group by 1, 2),
@@ -93,4 +107,7 @@ near as (
   from v a join v b on a.seq_id <> b.seq_id)
 select distinct least(i, j) as seq_a, greatest(i, j) as seq_b from near where rk <= 5 and d <= 4"""
 
-ORACLE = {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5}
+_P6 = """select container_kind, count(*) as n_texts, 0 as n_overfull, 0 as n_cut, 0 as n_differing
+  from (select distinct container_kind from containers where capacity_tokens > 0), documents group by 1"""
+
+ORACLE = {"p6_faults": _P6, "p1_sizes": _P1.replace("select first_seq_id, seq_id from c where seq_id <> first_seq_id", "select first_seq_id, count(*) as n_members from c group by 1"), "p1_found": _P1, "p3_found": _P3, "p5_found": _P5}

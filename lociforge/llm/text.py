@@ -33,18 +33,25 @@ def words(text: str) -> list[str]:
     return WORD.findall(plain(text))
 
 
-def word_hashes(flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``(codes, hashes)``: each word's place among the distinct ones, and their 64-bit hashes."""
+def distinct_words(flat: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, words, hashes)``: each word's place among the distinct ones, these, and their 64-bit hashes."""
     codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, np.int64), np.empty(0, object))
-    return codes, pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False) if len(distinct) else np.empty(0, np.uint64)
+    return codes, distinct, pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False) if len(distinct) else np.empty(0, np.uint64)
+
+
+def word_hashes(flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, hashes)`` of ``distinct_words``."""
+    codes, _, hashes = distinct_words(flat)
+    return codes, hashes
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, characters: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about so many bytes of text, so that memory does not follow the texts' length."""
+def slices(batches: Iterator[pa.RecordBatch], columns: str | tuple[str, ...], characters: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about so many bytes in the columns, so that memory does not follow the texts' length."""
+    columns = (columns,) if isinstance(columns, str) else columns
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        size = np.cumsum(sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in columns))
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0

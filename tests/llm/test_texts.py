@@ -67,17 +67,44 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in got.filter("doc_id <> 902 or item_id = 5").collect()} == want and len(want) > 20
     several = leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, passage string, text int"), max_words=100)
     assert {tuple(r) for r in several.filter("doc_id <> 902 or item_id = 5").collect()} == want
+    fewer = leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, passage string, text int"), kinds=("wholes",))
+    assert {tuple(r) for r in fewer.filter("doc_id <> 902 or item_id = 5").collect()} < want  # whole windows alone miss edited runs
     assert leakage.leaked(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, passage string")).count() == 0
 
 
 def test_blocks_find_every_near_fingerprint():
     rng = random.Random(1)
-    own = [vocabulary(rng, 60) for _ in range(4)]
-    p = leakage.Passages(list(range(4)), own, 9, 2)
-    probe = np.array([f ^ np.uint64(sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))) for f in p.fp for _ in range(3)], np.uint64)
-    at, place, _ = p.candidates(probe)
-    want = {(i, int(p.at[j])) for i, j in itertools.product(range(len(probe)), range(len(p.fp))) if int(probe[i] ^ p.fp[j]).bit_count() <= 2}
-    assert set(zip(at.tolist(), place.tolist())) == want
+    own = [text.word_hashes(vocabulary(rng, 60))[1] for _ in range(4)]
+    passages = leakage.Passages(list(range(4)), own, 27, 2, 2)
+    assert len(passages.parts.fp) == 4 * 52 and len(passages.wholes.fp) == 4 * 34
+    for p in (passages.parts, passages.wholes):
+        probe = np.array([f ^ np.uint64(sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))) for f in p.fp for _ in range(3)], np.uint64)
+        at, place, _ = p.candidates(probe)
+        want = {(i, int(p.at[j])) for i, j in itertools.product(range(len(probe)), range(len(p.fp))) if int(probe[i] ^ p.fp[j]).bit_count() <= 2}
+        assert set(zip(at.tolist(), place.tolist())) == want
+
+
+def test_shingle_similarity_keeps_every_run_with_two_edits():
+    rng = random.Random(4)
+    common = vocabulary(rng, 40)
+    hashes = lambda ws: (lambda c, h: h[c])(*text.word_hashes(ws))
+    own = [[rng.choice(common) for _ in range(60)] for _ in range(5)]
+    p = leakage.Passages(list(range(5)), [hashes(t) for t in own], 27, 2, 2)
+    kept = 0
+    for _ in range(300):
+        k, start = rng.randrange(5), rng.randrange(34)
+        run, places = own[k][start : start + 27], list(range(start, start + 27))
+        for _ in range(2):
+            i, kind = rng.randrange(1, len(run) - 1), rng.randrange(3)
+            run, places = (run[:i] + ["new"] * (kind < 2) + run[i + (kind != 1) :], places[:i] + [None] * (kind < 2) + places[i + (kind != 1) :])
+        doc = hashes(["a"] * 3 + run + ["z"] * 3)
+        for i in (i for i, x in enumerate(places) if x is not None):
+            good = p.similar(leakage.shingles(doc), np.array([3 + i]), np.array([61 * k + places[i]]), 3)
+            assert good[0]
+            kept += 1
+        other = p.similar(leakage.shingles(doc), np.array([3 + 5]), np.array([61 * ((k + 1) % 5) + 20]), 3)
+        assert not other[0]
+    assert kept > 1000
 
 
 def test_boundaries_are_optimal():
@@ -121,6 +148,14 @@ def test_packing(spark):
         assert sum(used.values()) / (capacity * len(used)) > 0.9
     assert {r["container_kind"] for r in rows} == {"s", "m"}
     assert {r["container_no"] for r in rows if r["doc_id"] in (1000, 1001)} == {None}
+    df, kinds = spark.createDataFrame(docs, "doc_id long, text string, tokens string"), spark.createDataFrame(boxes, "container_kind string, capacity_tokens int, kind int")
+    for r in packing.fill_report(packed, kinds).collect():
+        assert r["fullest"] <= 256 and r["n_containers"] <= r["n_batches"] and 0.5 < r["batch_fill"] <= r["fill"] <= 1
+    assert {tuple(r)[2:] for r in packing.faults(packed, kinds).collect()} == {(0, 0, 0)}
+    rough = packing.pack(df, kinds, buckets=32, max_lengths=50)  # capacities beyond the number of lengths
+    assert {tuple(r)[2:] for r in packing.faults(rough, kinds).collect()} == {(0, 0, 0)} and rough.count() == len(rows)
+    assert min(r["fill"] for r in packing.fill_report(rough, kinds).collect()) > 0.8
+    assert packing.vocabulary(spark, "file://" + packing.TOKENIZER) == packing.vocabulary(spark, packing.TOKENIZER)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(boxes, "container_kind string, capacity_tokens int, kind int")).count() == 0
 
 
