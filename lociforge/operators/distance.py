@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from lociforge.operators.ordering import value_counts
 from lociforge.operators.sheet import allele_frequencies, allele_shares, complete_calls, entropies, marker_dimension, snp_locus_weights
 from lociforge.session import Cut
 
-BLOCK = 1024
+BLOCK = 512
 SLICE = 4096
 EPSILON = 0.3072
 
@@ -45,14 +46,14 @@ class _Pair:
     """The specimens of two blocks: ``s`` is each row's specimen, ``left`` and ``right`` those of either block."""
 
     def __init__(self, key: tuple, pdf: pd.DataFrame):
-        bi, bj = key
+        bi, bj = (k.as_py() for k in key)
         self.ids = np.sort(pdf["seq_id"].unique())
         self.s = np.searchsorted(self.ids, pdf["seq_id"].to_numpy().astype(self.ids.dtype))
         side = np.zeros(len(self.ids), int)
         side[self.s] = pdf["b"].to_numpy()
         self.left, self.right, self.same = np.flatnonzero(side == bi), np.flatnonzero(side == bj), bi == bj
 
-    def rows(self, d: np.ndarray, keep: np.ndarray | None = None) -> pd.DataFrame:
+    def rows(self, d: np.ndarray, keep: np.ndarray | None = None) -> pa.Table:
         """``(i, j, d)`` of the pairs of the result matrix, each once."""
         if self.same:
             i, j = np.triu_indices(len(self.left), 1)
@@ -62,7 +63,8 @@ class _Pair:
             ok = keep[i, j]
             i, j = i[ok], j[ok]
         x, y = self.left[i], self.right[j]  # ids are sorted
-        return pd.DataFrame({"i": self.ids[np.minimum(x, y)], "j": self.ids[np.maximum(x, y)], "d": d[i, j]})
+        names = pa.array(self.ids, pa.string())
+        return pa.table({"i": names.take(pa.array(np.minimum(x, y))), "j": names.take(pa.array(np.maximum(x, y))), "d": d[i, j]})
 
 
 def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, max_distance: float | None = None) -> DataFrame:
@@ -75,7 +77,8 @@ def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, bl
     per_locus = weights.groupBy("locus").agg(F.sum("w").alias("wl"))
     own = kept.join(weights, ["locus", "marker"]).join(per_locus, "locus").select("seq_id", "locus", "marker", (F.col("w") / F.col("ploidy")).alias("wq"), "wl")
 
-    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
         p = _Pair(key, pdf)
         locus, names = pd.factorize(pdf["locus"])
         marker, _ = pd.factorize(pdf["locus"] + "\x00" + pdf["marker"])
@@ -97,7 +100,7 @@ def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, bl
         d = np.where(den > 0, np.maximum(num, 0) / np.where(den > 0, den, 1), 1.0)
         return p.rows(d, None if max_distance is None else d <= max_distance)
 
-    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(products, "i string, j string, d double")
+    return _dealt(own, block).groupBy("bi", "bj").applyInArrow(products, "i string, j string, d double")
 
 
 def all_pairs(specimens: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -140,9 +143,10 @@ def snp_pairs(calls: DataFrame, sequences: DataFrame, ploidy=None, min_completen
     known = own.select("b", "marker").distinct().join(sequences.filter("sequence is not null").groupBy("marker").agg(F.first("sequence").alias("sequence")), "marker")
     known = known.select(F.col("b").alias("kb"), F.col("marker").alias("km"), "sequence").toDF("b", "allele", "text")
 
-    def scores(key: tuple, pdf: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    def scores(key: tuple, table: pa.Table, texts: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
         p = _Pair(key, pdf)
-        of = dict(zip(texts["allele"], texts["text"]))
+        of = dict(zip(texts.column("allele").to_pylist(), texts.column("text").to_pylist()))
         total, weight = np.zeros((len(p.left), len(p.right))), np.zeros((len(p.left), len(p.right)))
         for at, a, b, allele in _loci(p, pdf):
             names = np.empty(a.shape[1], object)
@@ -163,7 +167,7 @@ def snp_pairs(calls: DataFrame, sequences: DataFrame, ploidy=None, min_completen
         d = np.where(weight > 0, total / np.where(weight > 0, weight, 1), 1.0)
         return p.rows(d) if every else p.rows(d, weight > 0)
 
-    return _spread(own, blocks).groupBy("bi", "bj").cogroup(_spread(known, blocks).groupBy("bi", "bj")).applyInPandas(scores, "i string, j string, d double")
+    return _spread(own, blocks).groupBy("bi", "bj").cogroup(_spread(known, blocks).groupBy("bi", "bj")).applyInArrow(scores, "i string, j string, d double")
 
 
 def _loci(p: _Pair, pdf: pd.DataFrame):
@@ -186,7 +190,8 @@ def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10,
     loci = entropies(kept).join(marker_dimension(calls, ploidy).select("locus", "ploidy").distinct(), "locus")
     own = kept.join(loci, "locus").select("seq_id", "locus", "marker", "entropy", "ploidy")
 
-    def scores(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def scores(key: tuple, table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
         p = _Pair(key, pdf)
         total, common = np.zeros((len(p.left), len(p.right))), np.zeros((len(p.left), len(p.right)), np.int32)
         for at, a, b, _ in _loci(p, pdf):
@@ -203,7 +208,7 @@ def barratt_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10,
             return p.rows(np.where(common > 0, total / np.maximum(common, 1), np.nan))
         return p.rows(total / np.maximum(common, 1), common > 0)
 
-    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
+    return _dealt(own, block).groupBy("bi", "bj").applyInArrow(scores, "i string, j string, d double")
 
 
 def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min_completeness: float = 0.10, block: int = BLOCK, every: bool = False) -> DataFrame:
@@ -217,7 +222,8 @@ def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min
     loci = marker_dimension(calls, ploidy).select("locus", "marker", "ploidy")
     own = kept.join(shares, ["locus", "marker"]).join(loci, ["locus", "marker"]).select("seq_id", "locus", "marker", "p", "ploidy")
 
-    def scores(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def scores(key: tuple, table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas()
         pair = _Pair(key, pdf)
         shape = (len(pair.left), len(pair.right))
         sums, common = np.zeros((3, *shape)), np.zeros(shape, bool)
@@ -244,7 +250,7 @@ def plucinski_pairs(calls: DataFrame, ploidy=None, epsilon: float = EPSILON, min
         d = (e[1] + 2 * e[0]) / e.sum(0)
         return pair.rows(np.where(common, d, 2.0)) if every else pair.rows(d, common)
 
-    return _dealt(own, block).groupBy("bi", "bj").applyInPandas(scores, "i string, j string, d double")
+    return _dealt(own, block).groupBy("bi", "bj").applyInArrow(scores, "i string, j string, d double")
 
 
 def barratt_matrix(calls: DataFrame, cut: Cut, ploidy=None, min_completeness: float = 0.10) -> DataFrame:

@@ -37,6 +37,9 @@ def test_sequence_functions(spark):
     assert tuple(row) == ("GGGAACACTT", 30.0, True)
 
 
+# The numbers of the tests by hand are fixed values of the definitions.
+
+
 def test_wibs_by_hand(spark):
     own = calls(spark, {"S1": ["LocA_Hap_1", "LocB_Hap_1"], "S2": ["LocA_Hap_1", "LocB_Hap_2"], "S3": ["LocA_Hap_2"]})
     for block in (1024, 1):
