@@ -19,8 +19,9 @@ def write_sheet(calls: DataFrame, path: str, specimens: DataFrame | None = None,
 
 
 def write_fasta(records: DataFrame, path: str, name: str = "marker") -> None:
-    """``>name`` and sequence lines in the order of the names."""
-    records.select(name, "sequence").orderBy(name).select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col("sequence"))).write.mode("overwrite").text(path)
+    """``>name`` and sequence lines in the order of the names, in files that ``read_contigs`` takes for FASTA."""
+    lines = records.select(name, "sequence").orderBy(name).select(F.explode(F.array(F.concat(F.lit(">"), F.col(name)), F.col("sequence"))))
+    lines.write.mode("overwrite").option("extension", "fna").csv(path, sep="\u0001", header=False, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
