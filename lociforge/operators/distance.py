@@ -293,11 +293,13 @@ def with_incomparable(pairs: DataFrame, specimens: DataFrame, fill: Column | flo
 
 def double_centred(pairs: DataFrame) -> DataFrame:
     """``(i, j, g)``, both orders and the diagonal: -1/2 (d² - row mean - column mean + grand mean)."""
-    both = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    ids = both.select("i").distinct()
+    cut = Cut(pairs.sparkSession)
+    pairs = cut.write(pairs.select("i", "j", "d"))
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    ids = cut.write(both.select("i").distinct())
     full = both.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"))).withColumn("d2", F.col("d") * F.col("d"))
     n = ids.select(F.count("*").alias("n"))
-    sums = full.groupBy("i").agg(F.sum("d2").alias("s")).join(F.broadcast(n)).select("i", (F.col("s") / F.col("n")).alias("m"))
+    sums = cut.write(full.groupBy("i").agg(F.sum("d2").alias("s")).join(F.broadcast(n)).select("i", (F.col("s") / F.col("n")).alias("m")))
     grand = sums.select(F.avg("m").alias("g0"))
     return (
         full.join(sums, "i").join(sums.select(F.col("i").alias("j"), F.col("m").alias("mj")), "j").join(F.broadcast(grand))
