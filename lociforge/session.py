@@ -116,8 +116,3 @@ def close_cuts(keep: frozenset[str] = frozenset()) -> None:
 
 
 atexit.register(close_cuts)
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows, found without counting further than that."""
-    return df.limit(limit + 1).count() <= limit
