@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,12 +152,45 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
+def _fields(line: str, sep: str) -> list[str]:
+    if '"' not in line:
+        return line.split(sep)
+    csv.field_size_limit(max(csv.field_size_limit(), len(line)))
+    return next(csv.reader([line], delimiter=sep, escapechar="\\"))
+
+
+def _cells(spark: SparkSession, path: str, sep: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """``(i, j, cell)`` of the wanted cells of a wide table whose files all begin with the same header; ``j`` is a column's name.
+
+    Lines are parted in the tasks, so no plan has a column for each cell of a line.
+    """
+    lines = spark.read.text(path)
+    first = lines.filter("value <> ''").first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    names = spark.sparkContext.broadcast((first[0], _fields(first[0].rstrip("\r"), sep)))
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        header, columns = names.value
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                if not line or line == header:
+                    continue
+                name, *cells = _fields(line.rstrip("\r"), sep)
+                kept = [k for k, c in enumerate(cells[: len(columns) - 1]) if wanted(c)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept), pa.string()), pa.array([columns[k + 1] for k in kept], pa.string()), pa.array([cells[k] for k in kept], pa.string())], names=["i", "j", "cell"])
+
+    return lines.mapInArrow(long, "i string, j string, cell string")
+
+
+def read_sheet_calls(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq_id, marker)`` of a sheet's cells that hold ``X``; its first column names the specimens."""
+    return _cells(spark, path, "\t", lambda c: c == "X").select(F.col("i").alias("seq_id"), F.col("j").alias("marker"))
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``(i, j, d)``, i before j, from a square CSV whose first column names the rows."""
-    wide = spark.read.csv(path, header=True)
-    key, *others = wide.columns
-    long = wide.unpivot([F.col(f"`{key}`").alias("i")], [F.col(f"`{c}`") for c in others], "j", "d")
-    return long.select(F.col(long.columns[0]).alias("i"), "j", F.col("d").cast("double").alias("d")).filter("i < j and d is not null")
+    return _cells(spark, path, ",", lambda c: c != "").filter("i < j").select("i", "j", F.expr("try_cast(cell as double)").alias("d")).filter("d is not null")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,23 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(120)
     assert seen[-1] == 3
     assert {(r["seq_id"], r["marker"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("A", "L1"), ("A", "L2"), ("B", "L9")}
+
+
+def test_wide_files_have_no_limit_of_columns(spark, tmp_path):
+    n = 20_050
+    names = [f"L1_Hap_{k:05d}" for k in range(n)]
+    calls = spark.createDataFrame([("S,1", m) for m in names] + [('S"2', names[7])], "seq_id string, marker string")
+    sinks.write_sheet(calls, str(tmp_path / "s"), spark.createDataFrame([("EMPTY",)], "seq_id string"))
+    assert files.read_sheet_calls(spark, str(tmp_path / "s")).exceptAll(calls).count() == 0 and files.read_sheet_calls(spark, str(tmp_path / "s")).count() == n + 1
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "s")).collect()]
+    assert {len(x.split("\t")) for x in lines} == {n + 1} and any(x.startswith("EMPTY\t") for x in lines)
+    pairs = spark.createDataFrame([('A"x', "B,y", 0.25), ('A"x', "C", 1e-7), ("B,y", "C", 0.5)], "i string, j string, d double")
+    sinks.write_matrix(pairs, str(tmp_path / "m"))
+    assert {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m")).collect()} == {tuple(r) for r in pairs.collect()}
+
+
+def test_matrix_of_more_ids_than_a_plan_has_columns(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/x.csv").write_text("i," + ",".join(f"B{k:05d}" for k in range(20_600)) + "\nA," + ",".join(str(k / 32) for k in range(20_600)) + "\n")
+    back = files.read_matrix(spark, str(tmp_path / "m"))
+    assert back.count() == 20_600 and {tuple(r) for r in back.filter("j in ('B00001', 'B20599')").collect()} == {("A", "B00001", 1 / 32), ("A", "B20599", 20_599 / 32)}
