@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.functions.names import clean_locus_hint, parse_locus
-from lociforge.operators import distance, hierarchy, metrics, sheet, typing
+from lociforge.operators import distance, hierarchy, metrics, typing
 from lociforge.session import Cut, close_cuts, get_session, open_cuts
 from lociforge.sources import files, sinks
 
@@ -107,7 +107,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         specimens, calls = calls_of(spark, args, cut)
         sinks.write_sheet(calls, args.output, specimens, one)
     elif args.command == "distances":
-        calls = sheet.melt_sheet(files.read_sheet(spark, args.sheet)).withColumn("locus", parse_locus(F.col("marker")))
+        calls = files.read_sheet_calls(spark, args.sheet).withColumn("locus", parse_locus(F.col("marker")))
         sinks.write_matrix(cut.write(pairs_of(cut.write(calls), args, cut)), args.output, one)
     elif args.command == "cluster":
         labels = cluster(cut.write(files.read_matrix(spark, args.matrix)), gold, args, cut)
