@@ -8,6 +8,7 @@ distances of alleles the same way.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.operators.ordering import value_counts
+from lociforge.operators.ordering import numbered, value_counts
 from lociforge.operators.sheet import allele_frequencies, allele_shares, complete_calls, entropies, marker_dimension, snp_locus_weights
 from lociforge.session import Cut
 
@@ -67,15 +68,45 @@ class _Pair:
         return pa.table({"i": names.take(pa.array(np.minimum(x, y))), "j": names.take(pa.array(np.maximum(x, y))), "d": d[i, j]})
 
 
+def _weighted(calls: DataFrame, ploidy, min_completeness: float) -> DataFrame:
+    """``(seq_id, locus, marker, wq, wl)``: the calls of complete specimens with each marker's and locus's weight."""
+    kept = complete_calls(calls, min_completeness)
+    weights = allele_frequencies(kept, marker_dimension(calls, ploidy)).select("locus", "marker", "ploidy", "w")
+    per_locus = weights.groupBy("locus").agg(F.sum("w").alias("wl"))
+    return kept.join(weights, ["locus", "marker"]).join(per_locus, "locus").select("seq_id", "locus", "marker", (F.col("w") / F.col("ploidy")).alias("wq"), "wl")
+
+
+def wibs_of_pairs(pairs: DataFrame, calls: DataFrame, cut: Cut, ploidy=None, min_completeness: float = 0.10) -> DataFrame:
+    """The rows ``(i, j, d)`` of ``wibs_pairs`` that the distinct ``(i, j)`` of ``pairs`` name; no other pair is made."""
+    own = cut.write(_weighted(calls, ploidy, min_completeness))
+    known = numbered(own.select("locus", "marker").distinct(), ["locus", "marker"], "no", cut)
+    known = cut.write(known.join(known.groupBy("locus").agg(F.min("no").alias("l")), "locus"))
+    packed = own.join(known, ["locus", "marker"]).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("no", "l", "wq", "wl"))).alias("c"))
+    packed = cut.write(packed.select("seq_id", "c.no", "c.l", "c.wq", "c.wl"))
+    of = lambda end: packed.select(F.col("seq_id").alias(end), F.struct("no", "l", "wq", "wl").alias(f"c{end}"))
+    both = pairs.select("i", "j").join(of("i"), "i").join(of("j"), "j")
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("ci"), batch.column("cj")):
+                x, y = x.as_py(), y.as_py()
+                called, other = dict(zip(x["l"], x["wl"])), set(y["l"])
+                den = math.fsum(w for k, w in called.items() if k in other)
+                held = dict(zip(x["no"], x["wq"]))
+                num = [w for k, w in zip(x["l"], x["wq"]) if k in other] + [w for k, w in zip(y["l"], y["wq"]) if k in called] + [-2 * w for m, w in zip(y["no"], y["wq"]) if m in held]
+                out.append(max(math.fsum(num), 0.0) / den if den > 0 else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(out, pa.float64())], names=["i", "j", "d"])
+
+    return both.mapInArrow(distances, "i string, j string, d double")
+
+
 def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, max_distance: float | None = None) -> DataFrame:
     """``(i, j, d)``, i before j: weighted identity-by-state before the projection; 1.0 without a common locus.
 
     ``calls``: distinct ``(seq_id, locus, marker)``. With ``max_distance`` only nearer pairs leave the tasks.
     """
-    kept = complete_calls(calls, min_completeness)
-    weights = allele_frequencies(kept, marker_dimension(calls, ploidy)).select("locus", "marker", "ploidy", "w")
-    per_locus = weights.groupBy("locus").agg(F.sum("w").alias("wl"))
-    own = kept.join(weights, ["locus", "marker"]).join(per_locus, "locus").select("seq_id", "locus", "marker", (F.col("w") / F.col("ploidy")).alias("wq"), "wl")
+    own = _weighted(calls, ploidy, min_completeness)
 
     def products(key: tuple, table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()

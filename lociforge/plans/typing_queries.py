@@ -371,7 +371,9 @@ def id_collision(spark, folder):
 
 
 def metric_correlation(spark, folder):
-    return _rounded(metrics.correlation(_dist(spark, folder), distance.wibs_pairs(_calls(spark, folder)).withColumn("d", F.round("d", 9))), "pearson", "spearman")
+    cut = Cut(spark)
+    given = cut.write(_dist(spark, folder))
+    return _rounded(metrics.correlation(given, distance.wibs_of_pairs(given, _calls(spark, folder), cut).withColumn("d", F.round("d", 9))), "pearson", "spearman")
 
 
 def micro_clusters(spark, folder):

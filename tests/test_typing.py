@@ -238,3 +238,14 @@ def test_pairs_without_a_common_locus_are_in_the_matrix(spark):
     assert as_dict(second) == pytest.approx(as_dict(distance.plucinski_pairs(own)) | {p: 2.0 for p in apart})
     ranks = as_dict(distance.rank_ensemble(first, second))
     assert set(ranks) == every and all(ranks[p] == max(ranks.values()) for p in apart)
+
+
+def test_wibs_of_given_pairs(spark):
+    rng = random.Random(5)
+    own = calls(spark, {f"S{i:02d}": sorted({f"L{rng.randrange(6)}_Hap_{rng.randrange(4)}" for _ in range(rng.randrange(1, 9))}) for i in range(20)})
+    every = {(r["i"], r["j"]): r["d"] for r in distance.wibs_pairs(own, min_completeness=0.3).collect()}
+    asked = [(f"S{i:02d}", f"S{j:02d}") for i in range(20) for j in range(i + 1, 20) if (i + j) % 3 == 0] + [("S01", "none")]
+    got = distance.wibs_of_pairs(spark.createDataFrame(asked, "i string, j string"), own, Cut(spark), min_completeness=0.3)
+    want = {k: every[k] for k in asked if k in every}
+    found = {(r["i"], r["j"]): r["d"] for r in got.collect()}
+    assert want and found == pytest.approx(want) and any(v == 1.0 for v in want.values())
