@@ -254,7 +254,7 @@ def rank_ensemble_matrix(spark, folder):
 
 
 def double_centring(spark, folder):
-    g = _rounded(distance.double_centred(distance.wibs_pairs(_calls(spark, folder))), "g")
+    g = _rounded(distance.double_centred_of(spark, distance.wibs_genotypes(_calls(spark, folder)), distance.wibs_distances), "g")
     return g.withColumn("g", F.when(F.col("g") == 0, F.lit(0.0)).otherwise(F.col("g")))  # no negative zero
 
 
