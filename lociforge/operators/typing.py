@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from lociforge.functions.identifiers import clean_id
 from lociforge.functions.names import JUNCTION_LOCUS, content_hash, haplotype_id, junction_id
 from lociforge.functions.sequences import is_junction_read, mean_phred, plain_sequence, trim_junction
+from lociforge.operators.loci import Loci
+from lociforge.operators.ordering import numbered
 from lociforge.session import Cut
 
 MIN_LETTERS = 20
 SEED = 20
 LOCUS_IDENTITY = 0.75
-LEADERS = 2048
+LEADERS = 4096
+ALIKE = 64
 MATCH_ROWS = 2048
 MATCH_LETTERS = 2_000_000
 #: Parts of the names of sequences without an equal reference; fixed values.
@@ -31,66 +34,85 @@ def contig_view(contigs: DataFrame) -> DataFrame:
     return contigs.select(clean_id("seq_id").alias("seq_id"), clean_id("locus_hint").alias("locus_hint"), plain_sequence(F.col("sequence")).alias("sequence"), "ord").filter(F.length("sequence") >= MIN_LETTERS)
 
 
-class _Centroids:
-    """Loci in the order of their first record, and the first of them that a sequence is alike."""
-
-    def __init__(self, rows: list[tuple]):
-        rows = sorted(rows)
-        self.at, self.names = np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]
-        self.lengths = np.array([len(r[1]) for r in rows])
-        self.letters = np.zeros((len(rows), max(self.lengths, default=0)), np.uint8)
-        for k, r in enumerate(rows):
-            self.letters[k, : len(r[1])] = np.frombuffer(r[1].encode(), np.uint8)
-
-    def locus(self, at: int, sequence: str, identity: float) -> str | None:
-        k = np.searchsorted(self.at, at, "right")  # loci begun up to this record
-        own = np.frombuffer(sequence.encode(), np.uint8)[: self.letters.shape[1]]
-        most = np.maximum(self.lengths[:k], len(sequence))
-        alike = (self.letters[:k, : len(own)] == own).sum(1) / most >= identity
-        alike &= np.minimum(self.lengths[:k], len(sequence)) / most >= 0.6
-        return self.names[alike.argmax()] if alike.any() else None
-
-
 def assigned_loci(contigs: DataFrame, cut: Cut, identity: float = LOCUS_IDENTITY, leaders: int = LEADERS) -> DataFrame:
     """``(seq_id, locus, sequence, ord)``: the contigs, those without a locus with the one their sequence tells.
 
     ``contigs``: ``(seq_id, locus, sequence, ord)``, the locus null or blank where unknown. In the order of ``ord`` a
     contig without locus gets the first locus begun before it whose first sequence agrees with it in ``identity`` of the
     letters of the longer one, place by place; else it begins ``Locus_NN``. Equal sequences get one locus, so distinct
-    ones are compared, and only with first sequences: each round takes the first ``leaders`` undecided ones in order,
-    finds the loci they begin, and decides by these all that are alike. Rounds, and what the driver holds, follow the loci.
+    ones are compared, and only with first sequences. They go in blocks in order, the first of ``leaders`` and each next
+    one as large as all before, so rounds follow the logarithm of the sequences: a block is compared with the loci begun
+    before it, what is left with itself, and the few alike pairs of that tell what begins. The driver, and each task,
+    holds the first sequences of the loci.
     """
     spark = contigs.sparkSession
     known = F.coalesce(F.col("locus"), F.lit("")) != ""
     hinted, blank = contigs.filter(known), contigs.filter(~known)
-    first = [(r["ord"], r["sequence"], r["locus"]) for r in hinted.groupBy("locus").agg(F.min_by("sequence", "ord").alias("sequence"), F.min("ord").alias("ord")).collect()]
-    open_ = blank.groupBy("sequence").agg(F.min("ord").alias("at"))
-    every, new, begun = list(first), first, 0
-
-    def told(own: DataFrame, centroids: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_Centroids(centroids))
+    first = hinted.groupBy("locus").agg(F.min_by("sequence", "ord").alias("sequence"), F.min("ord").alias("at"))
+    open_ = blank.groupBy("sequence").agg(F.min("ord").alias("at")).withColumn("locus", F.lit(None).cast("string"))
+    with Cut(spark) as step:
+        order = [F.col("at"), F.col("locus").isNull(), F.col("sequence"), F.col("locus")]
+        nodes = cut.write(numbered(first.unionByName(open_), order, "no", step).select("no", "sequence", "locus"))
+    total, parts, loci = nodes.count(), 2 * spark.sparkContext.defaultParallelism, Loci(identity)
+    told, own, begun, start = [], [], 0, 0
+
+    def decided(rows: DataFrame) -> DataFrame:
+        """``(no, sequence, locus, told)``: the rows, those told by a locus with its name and without their sequence."""
+        shared = spark.sparkContext.broadcast(loci)
 
         def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf.assign(locus=[shared.value.locus(a, s, identity) for a, s in zip(pdf["at"], pdf["sequence"])])
-
-        return cut.write(own.mapInPandas(decide, "sequence string, at long, locus string"))
-
-    distinct = open_ = cut.write(open_)
-    while True:
-        open_ = told(open_, new).filter("locus is null").select("sequence", "at")
-        rows = open_.orderBy("at", "sequence").limit(leaders).collect()
-        if not rows:
-            break
-        # all records before these are decided, and these are alike no locus found so far
-        new = []
-        for r in rows:
-            if not new or _Centroids(new).locus(r["at"], r["sequence"], identity) is None:
+                free = pdf[pdf["locus"].isna()]
+                found = shared.value.first(free["no"], free["sequence"])
+                names = [shared.value.name(found[no]) if no in found else None for no in pdf["no"]]
+                yield pdf.assign(sequence=[None if n else s for n, s in zip(names, pdf["sequence"])], told=names)
+
+        out = cut.write(rows.mapInPandas(decide, "no long, sequence string, locus string, told string"))
+        shared.destroy()
+        return out
+
+    def alike(rows: DataFrame, among: Loci) -> dict[int, list[int]]:
+        shared = spark.sparkContext.broadcast(among)
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                met = shared.value.every(pdf["no"], pdf["sequence"], ALIKE)
+                yield pd.DataFrame({"no": pd.Series(list(met), dtype="int64"), "others": pd.Series(list(met.values()), dtype=object)})
+
+        met = rows.select("no", "sequence").mapInPandas(compare, "no long, others array<long>").collect()
+        shared.destroy()
+        return {r["no"]: r["others"] for r in met}
+
+    while start < total:
+        end = min(total, start + max(leaders, start))
+        block = decided(nodes.filter(F.col("no").between(start, end - 1)).repartition(parts, "no"))
+        rest = block.filter("told is null")
+        left = sorted((r["no"], r["sequence"], r["locus"]) for r in rest.collect())
+        among = Loci(identity)
+        among.add([r[0] for r in left], [r[1] for r in left], [])
+        met = alike(rest.filter("locus is null").repartition(parts, "no"), among)
+        new: dict[int, tuple[str, str]] = {}
+        for no, sequence, locus in left:
+            others = met.get(no, []) if locus is None else []
+            of = next((k for k in others if k in new), None)
+            if of is not None:
+                own.append((no, new[of][1]))
+                continue
+            if len(others) == ALIKE:  # more may follow, of which one may have begun a locus: the next block starts here
+                end = no
+                break
+            if locus is None:
                 begun += 1
-                new.append((r["at"], r["sequence"], f"Locus_{begun:02d}"))
-        every += new
-    # a hinted locus may have begun after one found here, so the first of all is looked up at the end
-    done = told(distinct, every).select("sequence", "locus")
+                locus = f"Locus_{begun:02d}"
+                own.append((no, locus))
+            new[no] = (sequence, locus)
+        loci.add(list(new), [s for s, _ in new.values()], [n for _, n in new.values()])
+        told.append(block.filter((F.col("no") < end) & F.col("told").isNotNull()).select("no", F.col("told").alias("locus")))
+        start = end
+    names = cut.write(spark.createDataFrame(own, "no long, locus string"))
+    for found in told:
+        names = names.unionByName(found)
+    done = nodes.filter("locus is null").select("no", "sequence").join(names, "no").select("sequence", "locus")
     return hinted.select("seq_id", "locus", "sequence", "ord").unionByName(blank.drop("locus").join(done, "sequence").select("seq_id", "locus", "sequence", "ord"))
 
 

@@ -267,18 +267,19 @@ def denovo_calls(spark, folder):
     return typing.denovo_calls(_contigs(spark, folder).filter("locus_hint <> ''").withColumnRenamed("locus_hint", "locus"))
 
 
-def _placed(spark, folder):
-    return typing.assigned_loci(_contigs(spark, folder).withColumnRenamed("locus_hint", "locus"), Cut(spark))
+def _placed(spark, folder, cut):
+    return typing.assigned_loci(cut.write(_contigs(spark, folder).withColumnRenamed("locus_hint", "locus")), cut)
 
 
 def haplotype_rank_all(spark, folder):
     """As ``haplotype_rank``, with the contigs that have no locus hint."""
-    return typing.haplotype_ranks(_placed(spark, folder))
+    return typing.haplotype_ranks(_placed(spark, folder, Cut(spark)))
 
 
 def denovo_calls_all(spark, folder):
     """As ``denovo_calls``, with the contigs that have no locus hint."""
-    return typing.denovo_calls(_placed(spark, folder))
+    cut = Cut(spark)
+    return typing.denovo_calls(cut.write(_placed(spark, folder, cut)))  # read twice
 
 
 def contig_match(spark, folder):
