@@ -90,7 +90,7 @@ def assigned_loci(contigs: DataFrame, cut: Cut, identity: float = LOCUS_IDENTITY
         left = sorted((r["no"], r["sequence"], r["locus"]) for r in rest.collect())
         among = Loci(identity)
         among.add([r[0] for r in left], [r[1] for r in left], [])
-        met = alike(rest.filter("locus is null").repartition(parts, "no"), among)
+        met = alike(rest.filter("locus is null"), among)
         new: dict[int, tuple[str, str]] = {}
         for no, sequence, locus in left:
             others = met.get(no, []) if locus is None else []
