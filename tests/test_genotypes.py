@@ -115,3 +115,32 @@ def test_one_or_no_specimen(spark, calls):
         assert genotype_tree.cophenetic_correlation(spark, own, tree, distance.wibs_distances).first()[0] is None
         assert genotype_tree.knee_clusters(spark, own, distance.wibs_distances)[0].count() == n
         assert np.array_equal(own.codes(np.arange(n)) >= 0, np.ones((n, own.n_loci), bool))
+
+
+def test_few_near_pairs_are_finished_in_one_task(spark, own):
+    want = genotype_tree.genotype_tree(spark, own, distance.wibs_distances)
+    for held in (25, 100):  # from 25 clusters on in one task, and all in one task
+        got = genotype_tree.genotype_tree(spark, own, distance.wibs_distances, 3, 16, 9, held)
+        assert got.h2 == pytest.approx(want.h2, abs=1e-12) and got.total.tolist() == want.total.tolist()
+        assert got.left.tolist() == want.left.tolist() and got.right.tolist() == want.right.tolist()
+
+
+def test_chain_that_writes_no_columns():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 40, 300):
+        points, size = rng.random((n, 4)), rng.integers(1, 4, n).astype(float)
+        d = ((points[:, None] - points) ** 2).sum(2) * 2 * size[:, None] * size / (size[:, None] + size)
+        np.fill_diagonal(d, np.inf)
+        want, got = hierarchy._chain(d.copy(), size.copy(), np.zeros(n))[0], genotype_tree._chained(d.copy(), size.copy(), np.zeros(n))
+        assert [m[:2] for m in got] == [m[:2] for m in want] and np.allclose([m[2:] for m in got], [m[2:] for m in want])
+
+
+def test_distances_of_few_common_markers(spark, calls):
+    some = calls.filter("(ascii(substr(seq_id, 3, 1)) + ascii(substr(locus, 2, 1))) % 2 = 0 or seq_id > 'S50'")  # some have no common locus
+    own = distance.wibs_genotypes(some, min_completeness=0.0)
+    got = as_dict(distance.wibs_pairs(some, min_completeness=0.0, block=16))
+    named = spark.createDataFrame(list(got), "i string, j string")
+    assert got == pytest.approx(as_dict(distance.wibs_of_pairs(named, some, Cut(spark), min_completeness=0.0)), abs=1e-12)
+    x = np.arange(own.n)
+    d = distance.wibs_distances(own, x, x)
+    assert (np.diag(d) == 0).all() and 1.0 in d
