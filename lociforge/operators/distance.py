@@ -84,7 +84,8 @@ def wibs_distances(own: Genotypes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def wibs_genotypes(calls: DataFrame, ploidy=None, min_completeness: float = 0.10) -> Genotypes:
     """The complete specimens for ``wibs_distances``."""
-    return genotypes(_weighted(calls, ploidy, min_completeness), ("wq",), ("wl",))
+    with Cut(calls.sparkSession) as cut:  # each call is read more than once
+        return genotypes(cut.write(_weighted(cut.write(calls), ploidy, min_completeness)), ("wq",), ("wl",))
 
 
 def wibs_pairs(calls: DataFrame, ploidy=None, min_completeness: float = 0.10, block: int = BLOCK, max_distance: float | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ import csv
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +195,21 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return _cells(spark, path, ",", lambda c: c != "").filter("i < j").select("i", "j", F.expr("try_cast(cell as double)").alias("d")).filter("d is not null")
 
 
+def read_matrix_part(file: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """``read_matrix`` of one file that ``write_matrix_part`` wrote: a batch for each line."""
+    columns = pa.array(_fields(file.readline().decode().rstrip("\n"), ",")[1:], pa.string())
+    for line in file:
+        if line.startswith(b'"'):
+            name, *cells = _fields(line.decode().rstrip("\n"), ",")
+            cells = pa.array(cells, pa.string())
+        else:
+            first, _, rest = line.rstrip(b"\n").partition(b",")
+            name, cells = first.decode(), pc.split_pattern(pa.array([rest.decode()]), ",").flatten()
+        after = pc.greater(columns, name)
+        j = columns.filter(after)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), len(j)), j, cells.filter(after).cast(pa.float64())], names=["i", "j", "d"])
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """``(seq_id, cluster_alias)``: the first two columns, parted by any white space; the first line of each file is a header."""
     own = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.btrim("value"), r"\s+").alias("f"), (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_n"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,17 @@ def write_matrix(pairs: DataFrame, path: str, single: bool = False) -> None:
     _write_lines(both, ids, names, path, ",", "i", "0.0", single, cut)
 
 
+def write_matrix_part(file: BinaryIO, names: list[str], rows: list[str], d: np.ndarray) -> None:
+    """Some lines of ``write_matrix`` as a file of their own: the header of all ``names``, and the cells ``d`` of ``rows``."""
+    file.write((",".join(["i", *(_quoted(n, ",") for n in names)]) + "\n").encode())
+    cells = pa.array(np.ascontiguousarray(d).ravel()).cast(pa.string())
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(names), pa.int32()), cells), ",")
+    for name, line in zip(rows, lines):
+        file.write(f"{_quoted(name, ',')},".encode())
+        file.write(line.as_buffer())
+        file.write(b"\n")
+
+
 def write_clusters(labels: DataFrame, path: str, single: bool = False) -> None:
     """``Seq_ID`` and ``Assigned_cluster``."""
     write_table(labels.select(F.col("seq_id").alias("Seq_ID"), F.col("label").alias("Assigned_cluster")).orderBy("Seq_ID"), path, single=single)

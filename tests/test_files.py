@@ -5,7 +5,9 @@ import zipfile
 import pytest
 
 from lociforge import cli
-from lociforge.session import close_cuts, shared_folder
+from lociforge.operators import distance
+from lociforge.plans import file_queries
+from lociforge.session import close_cuts, open_cuts, shared_folder
 from lociforge.sources import files, sinks
 from lociforge.streaming import ingest
 
@@ -150,3 +152,14 @@ def test_matrix_of_more_ids_than_a_plan_has_columns(spark, tmp_path):
     (tmp_path / "m/x.csv").write_text("i," + ",".join(f"B{k:05d}" for k in range(20_600)) + "\nA," + ",".join(str(k / 32) for k in range(20_600)) + "\n")
     back = files.read_matrix(spark, str(tmp_path / "m"))
     assert back.count() == 20_600 and {tuple(r) for r in back.filter("j in ('B00001', 'B20599')").collect()} == {("A", "B00001", 1 / 32), ("A", "B20599", 20_599 / 32)}
+
+
+def test_matrix_file_leaves_no_text_of_the_whole_matrix(spark):
+    rows = [(f"S{i:03d}{x}", f"L{k % 4}", f"L{k % 4}_Hap_{(i * k) % 7}") for i in range(50) for k in range(1, 6) for x in (",b" if i == 3 else '"' if i == 4 else "",)]
+    calls = spark.createDataFrame(rows, "seq_id string, locus string, marker string").distinct()
+    want, before = {(r["i"], r["j"]): r["d"] for r in distance.wibs_pairs(calls).collect()}, open_cuts()
+    own = distance.wibs_genotypes(calls)
+    for sizes in ((128, 4096, 32), (16, 7, 5)):
+        back = file_queries._matrix_back(spark, own, *sizes)
+        assert {(r["i"], r["j"]): r["d"] for r in back.collect()} == pytest.approx(want, abs=1e-12) and back.count() == 50 * 49 // 2
+        assert open_cuts() == before and "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
